@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from nearspan.llm.mixing import OP4_SQL, op4_mixing
+from nearspan.llm.packing import op10_packing
 from nearspan.llm.simhash import op8_simhash
 
-QUERIES = {"op8_simhash": op8_simhash}
+QUERIES = {"op4_mixing": op4_mixing, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
