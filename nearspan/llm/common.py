@@ -87,9 +87,9 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, inverse)]
+        steps = np.full((2, max(n, SLICE_BYTES)), [[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        steps[:, 0] = 1
+        _powers[:] = np.cumprod(steps, axis=1)
     return _powers[0][:n], _powers[1]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from nearspan.llm.kd_shard import op5_kd_sharding
 from nearspan.llm.mixing import OP4_SQL, op4_mixing
 from nearspan.llm.packing import op10_packing
 from nearspan.llm.simhash import op8_simhash
+from nearspan.llm.toxicity import op6_toxicity
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+QUERIES = {"op4_mixing": op4_mixing, "op5_kd_sharding": op5_kd_sharding, "op6_toxicity": op6_toxicity, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
