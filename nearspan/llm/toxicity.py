@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from nearspan.llm.common import flat, hash_spans, slices, spans, table
 
@@ -174,26 +175,27 @@ class ToxicityModel:
     model: Model
     scale: tuple[float, float, float] | None  # None: the score is the logarithm of the ratio itself
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-        """(doc_id, score) of every row, and columns of docs named in keep. Texts without words have the score of ratio 0."""
+    def scored(self, docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+        """__score of every row beside the columns named in keep."""
         sent = docs.sparkSession.sparkContext.broadcast(self)  # arrays of a size that the hash spaces fix
-        fields = [docs.schema[c] for c in keep]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fitted = sent.value
             for batch in batches:
-                parts = [fitted.model.ratio(hashes, stems, bounds) for hashes, stems, bounds, _ in word_hashes(batch.column(1))]
-                ratio = np.concatenate(parts) if parts else np.zeros(0)
-                score = np.log(ratio + NONE)
+                parts = [fitted.model.ratio(hashes, stems, bounds) for hashes, stems, bounds, _ in word_hashes(batch.column(0))]
+                score = np.log((np.concatenate(parts) if parts else np.zeros(0)) + NONE)
                 if fitted.scale:
                     a, b, unit = fitted.scale
                     score = logistic(a * score / unit + b)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["doc_id", "score", *keep])
+                yield pa.RecordBatch.from_arrays([pa.array(score), *batch.columns[1:]], ["__score", *keep])
 
-        from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+        shape = StructType([StructField("__score", DoubleType()), *(docs.schema[c] for c in keep)])
+        return docs.select(F.col(text_col).cast("binary").alias("__text"), *keep).mapInArrow(run, shape)
 
-        shape = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *fields])
-        return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), *keep).mapInArrow(run, shape)
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, score) of every row. Null texts and those without words have the score of no evidence."""
+        rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"))
+        return self.scored(rows, "__t", ("__id",)).select(F.col("__id").alias("doc_id"), F.col("__score").alias("score"))
 
 
 def _gather(rows: DataFrame, expressive: np.ndarray) -> Counts:
@@ -258,8 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col:
     model = Model(counts)
     # At most PICK_ROWS rows set the two numbers of the scale.
     held = labels.where(hold).orderBy(F.xxhash64("__id"), "__id").limit(PICK_ROWS)
-    ratios = ToxicityModel(model, None).score(docs.where(hold).join(F.broadcast(held), "__id"), "__id", "__text", keep=("__toxic",)).select("score", "__toxic").toPandas()
-    return ToxicityModel(model, fit_scale(ratios["score"].to_numpy(), ratios["__toxic"].to_numpy().astype(float)))
+    ratios = ToxicityModel(model, None).scored(docs.where(hold).join(F.broadcast(held), "__id"), "__text", ("__toxic",)).toPandas()
+    return ToxicityModel(model, fit_scale(ratios["__score"].to_numpy(), ratios["__toxic"].to_numpy().astype(float)))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -274,4 +276,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5, id_col: str
     """docs without the rows scored at or above ``at``; the columns stay as they are."""
     remainder = fold(F.col("__id"))
     fitted = fit(docs, labels, remainder.isin(1, 2, 3), remainder == 4, id_col, text_col)
-    return fitted.score(docs, id_col, text_col, keep=tuple(docs.columns)).where(F.col("score") < at).select(*docs.columns)
+    return fitted.scored(docs, text_col, tuple(docs.columns)).where(F.col("__score") < at).select(*docs.columns)
