@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nearspan.llm.embedding_join import OP1_SQL, op1_embedding_dedup
 from nearspan.llm.kd_shard import op5_kd_sharding
 from nearspan.llm.mixing import OP4_SQL, op4_mixing
 from nearspan.llm.packing import op10_packing
@@ -9,6 +10,6 @@ from nearspan.llm.quality import op7_quality
 from nearspan.llm.simhash import op8_simhash
 from nearspan.llm.toxicity import op6_toxicity
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_kd_sharding": op5_kd_sharding, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op4_mixing": op4_mixing, "op5_kd_sharding": op5_kd_sharding, "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
