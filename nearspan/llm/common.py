@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from nearspan.shipping import ship
+
 #: White space of every word rule here: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy kernels take at once.
@@ -21,6 +23,7 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
