@@ -256,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col:
     labels = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).where("__toxic in (0, 1)")
     labels = labels.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__most")).where("__toxic = __most").drop("__most")
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    counts = _gather(docs.where(train).join(labels.where(train), "__id").select("__text", "__toxic"), _expressive(docs.where(train), labels.where(train), EXPRESSIVE))
+    # Labels grow with the documents, so they are not broadcast even where they would fit.
+    counts = _gather(docs.where(train).join(labels.where(train).hint("merge"), "__id").select("__text", "__toxic"), _expressive(docs.where(train), labels.where(train), EXPRESSIVE))
     model = Model(counts)
     # At most PICK_ROWS rows set the two numbers of the scale.
     held = labels.where(hold).orderBy(F.xxhash64("__id"), "__id").limit(PICK_ROWS)
