@@ -212,10 +212,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose group has a smaller id; all columns stay. Of rows with the same id, all stay or go."""
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept_id"], "left_semi")
+    """docs without the rows whose group has a smaller id; all columns stay.
+
+    Rows with a null id stay. Rows of one id stay together, and go only if all of them have a group with a smaller id.
+    """
+    groups = simhash_groups(docs, id_col, text_col).where("doc_id is not null")
+    gone = groups.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("__gone")).where("__gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
