@@ -12,6 +12,8 @@ import numpy as np
 
 #: Cells of one layer of a program that are held at once.
 CELLS = 1 << 21
+#: Pairs of a sub-batch at most.
+LANES = 4096
 _BIG = np.int64(1) << 40
 
 
@@ -32,9 +34,9 @@ def batched(kernel: Callable, a: Sequence[str], b: Sequence[str], dtype=np.int64
     at = 0
     while at < len(order):
         # As many pairs as fit, when all are as long as the last of them.
-        n = max(1, CELLS // (int(size[order[min(at + 2048, len(order)) - 1]]) + 1))
-        part = order[at : at + min(n, 2048)]
-        at += len(part)
+        k = max(1, min(LANES, CELLS // (int(size[order[min(at + LANES, len(order)) - 1]]) + 1)))
+        part = order[at : at + k]
+        at += k
         x, m = encode([a[i] for i in part], -1)
         y, n = encode([b[i] for i in part], -2)
         out[part] = kernel(x, y, m, n)
@@ -63,18 +65,83 @@ def _rows(x, y, m, n, substitute: int, transpose: bool) -> np.ndarray:
     return out
 
 
+def _columns(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each place of y, which places of x hold its symbol, as bits: one unsigned number a lane. x has 64 columns at most."""
+    bits = np.zeros((y.shape[1], len(x), 8), np.uint8)
+    packed = np.packbits(x[None] == y.T[:, :, None], axis=2, bitorder="little")
+    bits[:, :, : packed.shape[2]] = packed
+    return bits.view("<u8")[:, :, 0]
+
+
+def _bits_edits(x, y, m, n, transpose: bool) -> np.ndarray:
+    """Edit distances by vertical differences held in the bits of one number a lane."""
+    zero, one = np.uint64(0), np.uint64(1)
+    up, down = np.full(len(x), ~zero), np.full(len(x), zero)
+    top = np.where(m > 0, m - 1, 0).astype(np.uint64)
+    score, out = m.copy(), np.where(n == 0, m, 0)
+    before_eq = diagonal = np.full(len(x), zero)
+    for j, eq in enumerate(_columns(x, y)):
+        swap = (((~diagonal) & eq) << one) & before_eq if transpose else zero
+        diagonal = (((eq & up) + up) ^ up) | eq | down | swap
+        right = down | ~(diagonal | up)
+        left = diagonal & up
+        score += ((right >> top) & one).astype(np.int64) - ((left >> top) & one).astype(np.int64)
+        right = (right << one) | one
+        up, down, before_eq = (left << one) | ~(diagonal | right), right & diagonal, eq
+        done = n == j + 1
+        out[done] = score[done]
+    return np.where(m == 0, n, out)
+
+
+def _bits_common(x, y, m, n) -> np.ndarray:
+    """Indel distances: what is cleared in a lane's bits counts its longest common subsequence."""
+    state = np.full(len(x), ~np.uint64(0))
+    out = np.where(n == 0, state, 0)
+    for j, eq in enumerate(_columns(x, y)):
+        met = state & eq
+        state = (state + met) | (state - met)
+        done = n == j + 1
+        out[done] = state[done]
+    inside = np.where(m >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(m, 63).astype(np.uint64)) - np.uint64(1))
+    return m + n - 2 * np.bitwise_count(~out & inside).astype(np.int64)
+
+
+def _by_bits(short: Callable, long: Callable) -> Callable:
+    """short for pairs of which one string has 64 symbols at most, the other way round if need be; long for the rest."""
+
+    def run(a, b) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        m, n = (np.fromiter(map(len, s), np.int64, len(s)) for s in (a, b))
+        fits = np.flatnonzero(np.minimum(m, n) <= 64)
+        if len(fits):
+            x = [a[i] if m[i] <= n[i] else b[i] for i in fits]
+            y = [b[i] if m[i] <= n[i] else a[i] for i in fits]
+            out[fits] = batched(short, x, y)
+        rest = np.flatnonzero(np.minimum(m, n) > 64)
+        if len(rest):
+            out[rest] = batched(long, [a[i] for i in rest], [b[i] for i in rest])
+        return out
+
+    return run
+
+
+_levenshtein = _by_bits(lambda x, y, m, n: _bits_edits(x, y, m, n, False), lambda x, y, m, n: _rows(x, y, m, n, 1, False))
+_osa = _by_bits(lambda x, y, m, n: _bits_edits(x, y, m, n, True), lambda x, y, m, n: _rows(x, y, m, n, 1, True))
+_indel = _by_bits(_bits_common, lambda x, y, m, n: _rows(x, y, m, n, 2, False))
+
+
 def levenshtein(a, b) -> np.ndarray:
-    return batched(lambda x, y, m, n: _rows(x, y, m, n, 1, False), a, b)
+    return _levenshtein(a, b)
 
 
 def osa(a, b) -> np.ndarray:
     """Edits and swaps of neighbours, no substring edited twice: ("ca", "abc") -> 3."""
-    return batched(lambda x, y, m, n: _rows(x, y, m, n, 1, True), a, b)
+    return _osa(a, b)
 
 
 def indel(a, b) -> np.ndarray:
     """Insertions and deletions alone: len(a) + len(b) - 2 * LCS."""
-    return batched(lambda x, y, m, n: _rows(x, y, m, n, 2, False), a, b)
+    return _indel(a, b)
 
 
 def lcs_length(a, b) -> np.ndarray:
