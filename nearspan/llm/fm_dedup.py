@@ -174,8 +174,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     Bit k of mask is set if the window that begins with word first + k starts anywhere else too.
     """
     anchors = _anchors(rows, window)
+    # Most anchors are met once. They are told apart by counts alone, so that only the others' rows go any further.
+    met = anchors.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("kg"))
+    anchors = cut(anchors.join(met.hint("merge"), F.col("g") == F.col("kg"), "left_semi"))
     alike = anchors.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "n", "at")).alias("x"))
-    kinds = alike.groupBy("g").agg(F.count("*").alias("kinds"), F.max("c").alias("most")).where("kinds > 1 or most > 1").select(F.col("g").alias("kg"), "kinds")
+    kinds = alike.groupBy("g").agg(F.count("*").alias("kinds")).select(F.col("g").alias("kg"), "kinds")
     alike = cut(alike.join(kinds.hint("merge"), F.col("g") == F.col("kg")).select("g", "s", "c", "x", "kinds"))
     # Different segments of one anchor: their words are fetched from one text that has them.
     one = F.struct("g", "s", "x.first", "x.n", "x.at", (F.col("kinds") > HOT).alias("hot"))
@@ -186,7 +189,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     fetched = fetched.select(key.alias("key"), "g", "s", "k", "at", "w")
     found = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window), "g long, s long, mask long")
     every = alike.where("c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask")).unionByName(found)
-    masks = every.groupBy(F.col("g").alias("mg"), F.col("s").alias("ms")).agg(F.bit_or("mask").alias("mask"))
+    # Written, so that the join below is of two plain exchanges, whose hot segments adaptive execution splits.
+    masks = cut(every.groupBy(F.col("g").alias("mg"), F.col("s").alias("ms")).agg(F.bit_or("mask").alias("mask")))
     hit = anchors.join(masks.hint("merge"), (F.col("g") == F.col("mg")) & (F.col("s") == F.col("ms")))
     span = F.struct("first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, n) - 1")).alias("mask"))
     return hit.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(span).alias("spans"))
