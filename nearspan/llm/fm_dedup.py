@@ -3,7 +3,8 @@
 Every window of 35 words is represented by its anchor, the 8-word gram of the least hash in it, so equal windows
 share their anchor. Neighbouring windows of one anchor form a segment. Segments that are alike word for word are
 counted first; different segments of one anchor meet in a shard, whose FM-index holds each of them once. The
-segments are then streamed against the index by backward search, and windows that occur twice are reported.
+segments are then streamed against the index by backward search, and windows that occur twice are reported. An anchor
+of very many segments does not go to one shard: its windows, which are of one length, are counted by their words.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from nearspan.llm.common import cut, flat, hash_spans, mix, slices, table, words
 from nearspan.llm.fm_index import repeated_windows
+from nearspan.shipping import ship
 
 WINDOW, GRAM = 35, 8
-#: An anchor of more different segments than this has its windows dealt out one by one.
+#: An anchor that is met more often than this has its windows counted one by one.
 HOT = 1 << 10
 #: Segments of a shard, about: an anchor's segments are in one.
 TAKE = 1 << 13
@@ -95,6 +97,7 @@ def segments(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, t): rows that repeat id and text are alike in all that follows."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
 
@@ -116,30 +119,44 @@ def _anchors(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, s long, id long, th long, first int, n int, at int")
 
 
-def _words_of(rows: DataFrame, window: int) -> DataFrame:
-    """(id, th, t, of: array of (g, s, first, n, at, hot)) -> (g, s, k, at, w): the words of each segment, or of its windows k where hot (else k is -1)."""
+def _segment_words(rows: DataFrame, window: int) -> DataFrame:
+    """(t, of: array of (g, s, first, n, at)) -> (g, s, at, w): the words of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(0))
-            for row, of in enumerate(batch.column(1).to_pylist()):
-                part = data[offsets[row] : offsets[row + 1]]
-                starts, ends, _ = words(part, np.array([0, len(part)]))
-                h = hash_spans(part, starts, ends)
-                out: dict[str, list] = {k: [] for k in ("g", "s", "k", "at", "w")}
-                for x in of:
-                    cuts = [(x["first"] + k, window, k) for k in range(x["n"])] if x["hot"] else [(x["first"], x["n"] + window - 1, -1)]
-                    for first, length, k in cuts:
-                        values = (x["g"], x["s"], k, x["at"] - max(k, 0), h[first : first + length].tobytes())
-                        for name, v in zip(out, values):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["k"], pa.int32()), pa.array(out["at"], pa.int32()), pa.array(out["w"], pa.binary())], list(out))
-
-    return rows.select("t", "of").mapInArrow(run, "g long, s long, k int, at int, w binary")
+            for h, of in _hashed(batch):
+                w = [h[x["first"] : x["first"] + x["n"] + window - 1].tobytes() for x in of]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in of], t) for c, t in (("g", pa.int64()), ("s", pa.int64()), ("at", pa.int32()))), pa.array(w, pa.binary())], ["g", "s", "at", "w"])
+
+    return rows.mapInArrow(run, "g long, s long, at int, w binary")
+
+
+def _window_words(rows: DataFrame, window: int) -> DataFrame:
+    """(t, of) as above -> (g, s, k, w): a hash of the words of each window of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, of in _hashed(batch):
+                rolled = _rolled(h, window).view(np.int64)
+                n = np.array([x["n"] for x in of])
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w = rolled[np.repeat([x["first"] for x in of], n) + k]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array([x[c] for x in of], np.int64), n)) for c in ("g", "s")), pa.array(k.astype(np.int32)), pa.array(w)], ["g", "s", "k", "w"])
+
+    return rows.mapInArrow(run, "g long, s long, k int, w long")
+
+
+def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[dict]]]:
+    """Hashes of the words of each text (t), with its segments (of)."""
+    data, offsets = flat(batch.column(0))
+    for row, of in enumerate(batch.column(1).to_pylist()):
+        part = data[offsets[row] : offsets[row + 1]]
+        starts, ends, _ = words(part, np.array([0, len(part)]))
+        yield hash_spans(part, starts, ends), of
 
 
 def _search(window: int):
-    """Rows sorted by shard -> (g, s, mask)."""
+    """Segments (g, s, at, w), sorted by anchor -> (g, s, mask)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,7 +164,6 @@ def _search(window: int):
         def search(rows: pa.Table) -> pa.RecordBatch:
             data, offsets = flat(rows["w"])
             mask = repeated_windows(np.frombuffer(data.tobytes(), np.uint64), offsets // 8, rows["at"].to_numpy().astype(np.int64), GRAM, window)
-            mask = mask << np.maximum(rows["k"].to_numpy(), 0).astype(np.int64)
             some = np.flatnonzero(mask)
             return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[some]) for c in ("g", "s")] + [pa.array(mask[some])], ["g", "s", "mask"])
 
@@ -156,8 +172,8 @@ def _search(window: int):
                 held.append(batch)
             if sum(b.num_rows for b in held) >= TAKE:
                 rows = pa.Table.from_batches(held)
-                # An anchor's segments, and a hot window's, stay together: the last key may go on.
-                keys = rows["key"].to_numpy()
+                # An anchor's segments stay together: the last anchor may go on.
+                keys = rows["g"].to_numpy()
                 at = int(np.searchsorted(keys, keys[-1]))
                 if at:
                     yield search(rows.slice(0, at))
@@ -175,21 +191,25 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     anchors = _anchors(rows, window)
     # Most anchors are met once. They are told apart by counts alone, so that only the others' rows go any further.
-    met = anchors.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("kg"))
-    anchors = cut(anchors.join(met.hint("merge"), F.col("g") == F.col("kg"), "left_semi"))
-    alike = anchors.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "n", "at")).alias("x"))
-    kinds = alike.groupBy("g").agg(F.count("*").alias("kinds")).select(F.col("g").alias("kg"), "kinds")
-    alike = cut(alike.join(kinds.hint("merge"), F.col("g") == F.col("kg")).select("g", "s", "c", "x", "kinds"))
+    # Tables that are written first make the joins below joins of two plain exchanges, whose hot keys are split.
+    met = anchors.groupBy("g").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("several"))
+    met = cut(met.where("c > 1").select(F.col("g").alias("kg"), "several", (F.col("c") > HOT).alias("hot")))
+    anchors = cut(anchors.join(met.hint("merge"), F.col("g") == F.col("kg")).drop("kg"))
+    first = F.min(F.struct("id", "th", "first", "n", "at")).alias("x")
+    alike = cut(anchors.groupBy("g", "s").agg(F.count("*").alias("c"), F.bool_or("several").alias("several"), F.bool_or("hot").alias("hot"), first))
     # Different segments of one anchor: their words are fetched from one text that has them.
-    one = F.struct("g", "s", "x.first", "x.n", "x.at", (F.col("kinds") > HOT).alias("hot"))
-    wanted = alike.where("kinds > 1").groupBy(F.col("x.id").alias("i"), F.col("x.th").alias("h")).agg(F.collect_list(one).alias("of"))
+    one = F.struct("g", "s", "x.first", "x.n", "x.at", "hot")
+    wanted = alike.where("several").groupBy(F.col("x.id").alias("i"), F.col("x.th").alias("h")).agg(F.collect_list(one).alias("of"))
     texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(wanted["i"]) & (rows["th"] == wanted["h"]))
-    fetched = _words_of(texts, window).dropDuplicates(["g", "s", "k"])  # rows that repeat id and text bring a segment again
-    key = F.when(F.col("k") >= 0, F.xxhash64("g", "w")).otherwise(F.xxhash64("g"))
-    fetched = fetched.select(key.alias("key"), "g", "s", "k", "at", "w")
-    found = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window), "g long, s long, mask long")
-    every = alike.where("c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask")).unionByName(found)
-    # Written, so that the join below is of two plain exchanges, whose hot segments adaptive execution splits.
+    part = lambda hot: texts.select("t", F.filter("of", lambda x: x["hot"] == hot).alias("of")).where(F.size("of") > 0)
+    segments_ = _segment_words(part(False), window).dropDuplicates(["g", "s"])  # rows that repeat id and text bring a segment again
+    found = segments_.repartition("g").sortWithinPartitions("g").mapInArrow(_search(window), "g long, s long, mask long")
+    # A hot anchor's windows are counted: one that has several places, in one segment or in many, occurs again.
+    place = F.struct("s", "k")
+    windows = _window_words(part(True), window)
+    again = cut(windows.groupBy(F.col("g").alias("wg"), F.col("w").alias("ww")).agg((F.min(place) != F.max(place)).alias("again")).where("again").drop("again"))
+    hot = windows.join(again.hint("merge"), (F.col("g") == F.col("wg")) & (F.col("w") == F.col("ww"))).select("g", "s", F.expr("shiftleft(1L, k)").alias("mask"))
+    every = alike.where("c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask")).unionByName(found).unionByName(hot)
     masks = cut(every.groupBy(F.col("g").alias("mg"), F.col("s").alias("ms")).agg(F.bit_or("mask").alias("mask")))
     hit = anchors.join(masks.hint("merge"), (F.col("g") == F.col("mg")) & (F.col("s") == F.col("ms")))
     span = F.struct("first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, n) - 1")).alias("mask"))
