@@ -7,7 +7,7 @@ found and hashed by a few passes of numpy, with temporaries bounded by ``slices`
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN, before)
 
 
+def free(name: str, columns: Iterable[str]) -> str:
+    """name, with underscores after it until no column is named so (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values, and where each begins (one more entry than values); null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

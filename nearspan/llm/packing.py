@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspan.llm.common import cut, table
+from nearspan.shipping import ship
 
 #: Pieces of a packing group, on average.
 GROUP = 1 << 15
@@ -89,6 +90,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -126,6 +128,7 @@ def pack(found: DataFrame, capacity: int = 4096) -> DataFrame:
     Rows are dealt to groups of about GROUP pieces by a hash, and each group is packed for itself; the pieces of
     one document may be in several sequences. Repeated rows are packed as often as they are there.
     """
+    ship(found.sparkSession)
     found = cut(found)
     groups = max(1, -(-found.count() // GROUP))
 

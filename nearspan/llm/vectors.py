@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from nearspan.shipping import ship
+
 
 def matrix(payload: bytes | pa.Buffer, dims: int, kind: str) -> np.ndarray:
     return np.frombuffer(payload, kind).reshape(-1, dims)
@@ -33,6 +35,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     Null, empty and zero vectors, those with null or non-finite components, and those of another length than most
     (of equally many: the longest) take no part, nor do null ids.
     """
+    ship(vectors.sparkSession)
     kind = "<f8" if vectors.schema[vector_col].dataType == ArrayType(DoubleType(), vectors.schema[vector_col].dataType.containsNull) else "<f4"
     v = F.col(vector_col)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
