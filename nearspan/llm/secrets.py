@@ -144,7 +144,10 @@ def fit(spark: SparkSession, findings: DataFrame | None = None) -> list:
 
 
 def with_findings(docs: DataFrame, forest: list, at: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with __parts (the text around candidates) and __found: an array of (candidate, score, secret); null where there is none."""
+    """docs with __parts (the text around candidates) and __found: an array of (candidate, score, secret); null where there is none.
+
+    The columns that are added must not be there yet.
+    """
     found = docs.withColumn("__candidates", F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), 0))
     some = F.size("__candidates") > 0
     found = found.withColumn("__parts", F.when(some, F.split(F.col(text_col), CANDIDATE)))
@@ -167,14 +170,18 @@ def scan(docs: DataFrame, forest: list | None = None, at: float = 0.5, id_col: s
 
 
 def redact(docs: DataFrame, forest: list | None = None, at: float = 0.5, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with secrets replaced by ``mark``; no row is dropped, n_chars follows the text, and other columns stay."""
+    """docs with secrets replaced by ``mark``; no row is dropped, n_chars follows a text that changes, and other columns stay."""
     forest = forest or fit(docs.sparkSession)
-    found = with_findings(docs, forest, at, text_col)
+    # The columns of docs stand in a struct meanwhile, so their names are free.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    found = with_findings(rows, forest, at)
     rest = F.transform("__found", lambda x, i: F.concat(F.when(x["secret"], F.lit(mark)).otherwise(x["candidate"]), F.col("__parts")[i + 1]))
-    text = F.when(F.exists("__found", lambda x: x["secret"]), F.concat(F.col("__parts")[0], F.array_join(rest, ""))).otherwise(F.col(text_col))
-    found = found.withColumn("__text", text)
-    made = {text_col: F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*(made.get(c, F.col(c)).alias(c) for c in docs.columns))
+    clean = F.when(F.exists("__found", lambda x: x["secret"]), F.concat(F.col("__parts")[0], F.array_join(rest, "")))
+    found = found.select("row", clean.alias("clean"))
+    made = {text_col: F.coalesce("clean", f"row.`{text_col}`")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return found.select(*(made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
