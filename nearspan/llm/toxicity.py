@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from nearspan.llm.common import flat, hash_spans, slices, spans, table
+from nearspan.llm.common import flat, free, hash_spans, slices, spans, table
+from nearspan.shipping import ship
 
 #: log2 of the hash space of words; words whose bigrams are modelled; rows that pick them.
 WORD_BITS, STEM_BITS, EXPRESSIVE, PICK_ROWS = 20, 16, 511, 4000
-#: Bytes of a stem; what is taken off each count of the smaller class and given to the backoff.
-STEM, DISCOUNT = 4, 1.5
+#: Bytes of a stem; what is taken off each count of the smaller class and given to the backoff, so that a word met in
+#: two texts says nothing yet.
+STEM, DISCOUNT = 4, 2.5
 #: Nats by which a word must speak for toxicity; the ratio per word that counts as none.
 MARGIN, NONE = 2.0, 1e-3
 
@@ -148,18 +150,34 @@ class Model:
         return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
 
 
-def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
-    """(a, b, unit): P(toxic) = logistic(a * x / unit + b), by Newton steps with a small ridge."""
+def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
+    """(a, b, unit): P(toxic) = logistic(a * x / unit + b), by damped Newton steps with a small ridge.
+
+    Evidence for toxicity never lowers the score: where it would, all rows get the share of toxic ones. Without rows of
+    both kinds a text counts as toxic when its words speak for it by a nat each.
+    """
     if not len(x) or y.min() == y.max():
-        return 1.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 1.0
-    unit = float(np.std(x)) or 1.0
-    z = np.stack([x / unit, np.ones(len(x))], axis=1)
+        return 1.0, 0.0, 1.0
+    unit, mean = float(np.std(x)) or 1.0, float(np.mean(x))
+    z = np.stack([(x - mean) / unit, np.ones(len(x))], axis=1)
+    ridge = np.array([1.0, 1e-3])  # a few rows alone do not make a steep scale
     w = np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, z @ w).sum() - y @ (z @ w) + (ridge * w * w).sum() / 2)
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        w += np.clip(np.linalg.solve(h, z.T @ (y - p) - 1e-3 * w), -3, 3)
-    return float(w[0]), float(w[1]), unit
+        p = logistic(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    if w[0] <= 0:
+        return 0.0, float(np.log(y.mean() / (1 - y.mean()))), 1.0
+    return float(w[0]), float(w[1] - w[0] * mean / unit), unit
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -176,7 +194,9 @@ class ToxicityModel:
     scale: tuple[float, float, float] | None  # None: the score is the logarithm of the ratio itself
 
     def scored(self, docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-        """__score of every row beside the columns named in keep."""
+        """The score of every row, in the first column, beside the columns named in keep."""
+        ship(docs.sparkSession)
+        name, text = free("__score", keep), free("__text", keep)
         sent = docs.sparkSession.sparkContext.broadcast(self)  # arrays of a size that the hash spaces fix
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +207,10 @@ class ToxicityModel:
                 if fitted.scale:
                     a, b, unit = fitted.scale
                     score = logistic(a * score / unit + b)
-                yield pa.RecordBatch.from_arrays([pa.array(score), *batch.columns[1:]], ["__score", *keep])
+                yield pa.RecordBatch.from_arrays([pa.array(score), *batch.columns[1:]], [name, *keep])
 
-        shape = StructType([StructField("__score", DoubleType()), *(docs.schema[c] for c in keep)])
-        return docs.select(F.col(text_col).cast("binary").alias("__text"), *keep).mapInArrow(run, shape)
+        shape = StructType([StructField(name, DoubleType()), *(docs.schema[c] for c in keep)])
+        return docs.select(F.col(text_col).cast("binary").alias(text), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, shape)
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, score) of every row. Null texts and those without words have the score of no evidence."""
@@ -253,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col:
 
     Labels other than 0 and 1 are left out, and so are ids with both; rows of docs with a repeated id count each.
     """
+    ship(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).where("__toxic in (0, 1)")
     labels = labels.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__most")).where("__toxic = __most").drop("__most")
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
@@ -277,4 +298,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5, id_col: str
     """docs without the rows scored at or above ``at``; the columns stay as they are."""
     remainder = fold(F.col("__id"))
     fitted = fit(docs, labels, remainder.isin(1, 2, 3), remainder == 4, id_col, text_col)
-    return fitted.scored(docs, text_col, tuple(docs.columns)).where(F.col("__score") < at).select(*docs.columns)
+    scored = fitted.scored(docs, text_col, tuple(docs.columns))
+    return scored.where(F.col(scored.columns[0]) < at).drop(scored.columns[0])
