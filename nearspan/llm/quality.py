@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from nearspan.llm.common import flat, slices, table
+from nearspan.shipping import ship
 
 WIDTH, FILTERS, EMBEDDING = 4, 16, 8
 #: Half a chunk: chunks overlap by this many bytes. The symbol that stands around a text.
@@ -27,9 +28,9 @@ EPOCHS, BATCH, RATE = 6, 16, 0.01
 
 
 def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each padded to whole blocks of HALF and one block at least, then WIDTH - 1 symbols; first block of each."""
+    """Symbols of all texts, each padded by WIDTH - 1 symbols at least to whole blocks of HALF; first block of each."""
     lengths = np.diff(offsets)
-    count = np.maximum(1, -(-lengths // HALF))
+    count = -(-(lengths + WIDTH - 1) // HALF)
     first = np.concatenate([[0], np.cumsum(count)])
     symbols = np.full(first[-1] * HALF + WIDTH - 1, PAD, np.int32)
     at = np.repeat(first[:-1] * HALF - offsets[:-1], lengths) + np.arange(offsets[0], offsets[-1])
@@ -37,6 +38,11 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return symbols, first
 
 
+def crossing(first: np.ndarray) -> np.ndarray:
+    """Windows that begin in one text and end in the next, in order: they count for neither."""
+    return (first[1:, None] * HALF - np.arange(WIDTH - 1, 0, -1)).ravel()
+
+
 def chunk_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First of the two blocks of each chunk (the last chunk of a text of one block has but one), and each text's first chunk."""
     count = np.maximum(1, np.diff(first) - 1)
@@ -68,9 +74,10 @@ class Network:
         t = self.tables()
         return [np.ascontiguousarray((t[k][:, None] + t[k + 1][None]).reshape(-1, FILTERS), np.float32) for k in range(0, WIDTH, 2)]
 
-    def pooled(self, symbols: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+    def pooled(self, symbols: np.ndarray, first: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
         """Maximum of each filter over each block."""
         n = len(symbols) - WIDTH + 1
+        out_of = crossing(first)
         out = np.empty((n // HALF, FILTERS), np.float32)
         step = 256
         for b in range(0, len(out), step):
@@ -79,12 +86,14 @@ class Network:
             m = len(part) - WIDTH + 1
             r = np.take(pairs[0], code[:m], axis=0)
             r += np.take(pairs[1], code[2 : m + 2], axis=0)
+            i, j = np.searchsorted(out_of, (b * HALF, b * HALF + m))
+            r[out_of[i:j] - b * HALF] = -np.inf
             out[b : b + step] = r.reshape(-1, HALF, FILTERS).max(axis=1)
         return np.maximum(out + self.bias.astype(np.float32), 0)
 
     def probability(self, data: np.ndarray, offsets: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
         symbols, first = blocks_of(data, offsets)
-        block = self.pooled(symbols, pairs)
+        block = self.pooled(symbols, first, pairs)
         left, start = chunk_bounds(first)
         last = np.repeat(first[1:] - 1, np.diff(start))
         chunk = np.maximum(block[left], block[np.minimum(left + 1, last)])
@@ -113,7 +122,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             symbols, first = blocks_of(np.frombuffer(b"".join(texts[i] for i in picked), np.uint8), offsets)
             tables = net.tables().astype(np.float32)
             n = len(symbols) - WIDTH + 1
-            r = sum(np.take(tables[k], symbols[k : n + k], axis=0) for k in range(WIDTH)).reshape(-1, HALF, FILTERS)
+            r = sum(np.take(tables[k], symbols[k : n + k], axis=0) for k in range(WIDTH))
+            r[crossing(first)] = -np.inf
+            r = r.reshape(-1, HALF, FILTERS)
             place = r.argmax(axis=1)
             block = np.take_along_axis(r, place[:, None], axis=1)[:, 0] + net.bias
             place += (np.arange(len(place)) * HALF)[:, None]
@@ -166,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
 
 def scored(net: Network, docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """__score of every row, the probability of label 1, beside the columns named in keep."""
+    """__score of every row, the probability of label 1, beside the columns named in keep (of other names)."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some thousands of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
