@@ -15,6 +15,8 @@ from nearspan.llm.common import WORD, cut, table
 
 #: Intervals of the key within a source.
 INTERVALS = 4096
+#: Sources whose rows of the plan (some numbers and a name each) are broadcast at most.
+FEW_SOURCES = 4096
 #: Characters that prose has few of; their share lowers a document's weight.
 SYMBOLS = "#$%&*!|@<>{}[]^~=+_"
 
@@ -85,15 +87,22 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def copies(key: Column, id_: Column) -> Column:
-    """Times that a row is taken under the row of prefixed() beside it."""
+    """Times that a row is taken under the row of planned() beside it."""
     id_ = F.coalesce(id_.cast("long"), F.lit(-(1 << 63)))
     cut_id = F.coalesce("__mix_cut_id", F.lit(-(1 << 63)))
     extra = (key < F.col("__mix_cut_key")) | ((key == F.col("__mix_cut_key")) & (id_ <= cut_id))
     return F.col("__mix_epochs") + F.coalesce(extra, F.lit(False)).cast("long")
 
 
-def prefixed(plan: DataFrame) -> DataFrame:
-    return plan.select(*(F.col(c).alias(f"__mix_{c}") for c in plan.columns))
+def planned(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+    """rows beside their source's row of the plan, whose columns get a prefix.
+
+    The plan has one row for each source. Up to FEW_SOURCES of them are broadcast, so that neither texts nor a source of
+    many rows are shuffled; beyond that both sides are plain exchanges, whose hot sources adaptive execution splits.
+    """
+    plan = cut(plan.select(*(F.col(c).alias(f"__mix_{c}") for c in plan.columns)))
+    few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    return rows.join(F.broadcast(plan) if few else plan.hint("merge"), F.col(source).eqNullSafe(F.col("__mix_source")))
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: str = "mix", **how) -> DataFrame:
@@ -104,18 +113,17 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     taken of a source differ from its target by half of one document at most. No rows give no rows.
     """
     rows = cut(sized(docs, id_col, text_col, source_col, quality, seed))
-    plan = prefixed(cut(mix_plan(rows, **how)))
-    both = rows.join(plan, F.col("source").eqNullSafe(F.col("__mix_source")))
+    both = planned(rows, mix_plan(rows, **how), "source")
     taken = copies(F.col("key"), F.col("id")) * F.col("size")
     return both.select(F.col("id").alias("doc_id"), "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken.alias("taken"), "source")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: str = "mix", **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; the choice is a row per source, so texts are not sorted."""
-    plan = prefixed(cut(mix_plan(cut(sized(docs, id_col, text_col, source_col, quality, seed)), **how)))
+    plan = mix_plan(cut(sized(docs, id_col, text_col, source_col, quality, seed)), **how)
     weight = text_quality(F.col(text_col)) if quality is None else quality
     keyed = docs.select("*", sample_key(F.col(id_col), weight, seed).alias("__mix_key"), F.col(source_col).cast("string").alias("__mix_of"))
-    both = keyed.join(plan, F.col("__mix_of").eqNullSafe(F.col("__mix_source")))
+    both = planned(keyed, plan, "__mix_of")
     both = both.withColumn("__mix_n", copies(F.col("__mix_key"), F.col(id_col)).cast("int")).where("__mix_n > 0")
     return both.withColumn("__mix_n", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n")))).select(*docs.columns)
 
