@@ -1,21 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Two interpolated models share one vocabulary space: bigrams among a bounded set of expressive words back
-off to each class's words, those to the class's stems (the first bytes of words, which inflections share),
-and those to continuation counts shared by both classes, so a word that one class happens to have met a few
-times says little. Discounts are in proportion to the size of a class: else the smaller one would take every
-rare word for its own. A document's score is the logistic of its
-log-likelihood ratio per word, summed over words that speak clearly for toxicity, on a scale fitted to labelled rows that the counts left out.
-
-Counts are sums over all labelled training rows, gathered as buckets of a fixed-size hash space: the model
-is bounded whatever the corpus. Distinct neighbours of a word, which Kneser-Ney counts, are counted linearly
-in 64-bit maps that merge by OR.
+Bigrams of all words back off to each class's words, those to the class's stems (the first bytes of words,
+which inflections share), and those to continuation counts shared by both classes, so a word that one class
+happens to have met a few times says little. Discounts are in proportion to the size of a class: else the smaller
+one would take every rare word for its own. A document's score is the logistic of its log-likelihood ratio per word,
+summed over words that speak clearly for toxicity, on a scale fitted to labelled rows that the counts left out.
+
+Counts are exact sums by 64-bit hashes of words, stems and pairs over all labelled training rows, and so are the
+distinct left neighbours of a word; they are aggregated as tables. The driver and the scoring tasks hold the words and
+stems that a discount leaves, and those pairs that can bring a word past MARGIN: leaving out the rest changes no score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from nearspan.llm.common import flat, free, hash_spans, slices, spans, table
+from nearspan.llm.common import cut, flat, free, hash_spans, mix, slices, spans, table
 from nearspan.shipping import ship
 
-#: log2 of the hash space of words; words whose bigrams are modelled; rows that pick them.
-WORD_BITS, STEM_BITS, EXPRESSIVE, PICK_ROWS = 20, 16, 511, 4000
+#: Rows that set the scale; rows of counts that a task holds before it sends them; passes that share the pairs, for less disk at once.
+PICK_ROWS, TAKE, PASSES = 4000, 1 << 21, 2
+#: Kinds of counts beside those of pairs.
+WORD, STEM, AFTER = 0, 1, 2
 #: Bytes of a stem; what is taken off each count of the smaller class and given to the backoff, so that a word met in
 #: two texts says nothing yet.
 STEM, DISCOUNT = 4, 2.5
@@ -56,94 +58,182 @@ def _once(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(hashes ^ (text * np.uint64(0x9FB21C651E98DF25)), return_index=True)[1])
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def _pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x9FB21C651E98DF25) + right)
 
 
-def _index(expressive: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place among the expressive words, their number for others."""
-    n = len(expressive)
+def _merged(rows: list[np.ndarray]) -> np.ndarray:
+    """(a, b, n, s) columns of 64 bits with n summed over equal (a, b), in order of a and b."""
+    x = np.concatenate(rows, axis=1)
+    x = x[:, np.lexsort((x[1], x[0]))]
+    first = np.ones(x.shape[1], bool)
+    first[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+    at = np.flatnonzero(first)
+    out = x[:, at]
+    if len(at):
+        out[2] = np.add.reduceat(x[2], at)
+    return out
+
+
+def _find(sorted_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash, the number of them for those that are not there."""
+    n = len(sorted_)
     if not n:
         return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(expressive, hashes), n - 1)
-    return np.where(expressive[at] == hashes, at, n)
+    at = np.minimum(np.searchsorted(sorted_, hashes), n - 1)
+    return np.where(sorted_[at] == hashes, at, n)
+
+
+def _classes(n: np.ndarray) -> np.ndarray:
+    """(2, ...) counts of ordinary and toxic rows from their packed sums."""
+    n = n.astype(np.int64)
+    return np.array([n >> 32, n & 0xFFFFFFFF])
 
 
 class Counts:
-    """Of ordinary (0) and toxic (1) training rows, by bucket; left: 64-bit maps of words that came before."""
+    """Of ordinary and toxic training rows, as rows (a, b, n, s).
+
+    n packs both classes' counts. b is WORD (a: a word; s: its stem), STEM (a: a stem), AFTER (a: a word; n: of the
+    pairs that it begins), or else the second word of a pair that begins with a. A text that repeats a word or pair counts once.
+    """
 
-    def __init__(self, expressive: np.ndarray):
-        self.expressive = expressive  # sorted hashes
-        self.words = np.zeros((2, 1 << WORD_BITS), np.int64)
-        self.stems = np.zeros((2, 1 << STEM_BITS), np.int64)
-        self.pairs = np.zeros((2, (len(expressive) + 1) ** 2), np.int64)
-        self.left = np.zeros(1 << WORD_BITS, np.uint64)
+    def __init__(self, rows: np.ndarray | None = None, part: int | None = None):
+        """part: -1 for all but pairs, the number of a pass for its pairs alone, None for all."""
+        self.rows = [rows.reshape(4, -1)] if rows is not None and len(rows) else [np.zeros((4, 0), np.uint64)]
+        self.part = part
 
     def add(self, hashes: np.ndarray, stems: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> None:
         if not len(hashes):
             return
-        label = np.repeat(toxic, np.diff(bounds))
-        bucket, stem, at = _bucket(hashes, WORD_BITS), _bucket(stems, STEM_BITS), _index(self.expressive, hashes)
+        one = np.where(np.repeat(toxic, np.diff(bounds)) == 1, np.uint64(1), np.uint64(1 << 32))
         inner = np.ones(len(hashes), bool)
         inner[bounds[:-1][bounds[:-1] < len(hashes)]] = False
         inner = np.flatnonzero(inner)
-        np.bitwise_or.at(self.left, bucket[inner], np.uint64(1) << (hashes[inner - 1] & np.uint64(63)))
-        pair = at[inner - 1] * (len(self.expressive) + 1) + at[inner]
-        once = _once(hashes, bounds)  # a text that repeats a word counts once, and so does a repeated pair
-        pairs = _once(pair.astype(np.uint64), np.searchsorted(inner, bounds))
-        for c in (0, 1):
-            own = once[label[once] == c]
-            for counts, places in ((self.words, bucket[own]), (self.stems, stem[own]), (self.pairs, pair[pairs[label[inner[pairs]] == c]])):
-                np.add.at(counts[c], places, 1)
+        pairs = inner[_once(_pair_key(hashes[inner - 1], hashes[inner]), np.searchsorted(inner, bounds))]
+        full = lambda k, b: np.full(k, b, np.uint64)
+        parts = []
+        if self.part is None or self.part < 0:
+            once = _once(hashes, bounds)
+            n, m = len(once), len(pairs)
+            parts += [[hashes[once], full(n, WORD), one[once], stems[once]], [stems[once], full(n, STEM), one[once], full(n, 0)], [hashes[pairs - 1], full(m, AFTER), one[pairs], full(m, 0)]]
+        if self.part is None or self.part >= 0:
+            if self.part is not None:
+                pairs = pairs[_pair_key(hashes[pairs - 1], hashes[pairs]) % np.uint64(PASSES) == self.part]
+            parts.append([hashes[pairs - 1], hashes[pairs], one[pairs], full(len(pairs), 0)])
+        self.rows.append(np.concatenate([np.stack(x) for x in parts], axis=1))
+
+    def merged(self) -> np.ndarray:
+        self.rows = [_merged(self.rows)]
+        return self.rows[0]
+
+    @property
+    def words(self) -> np.ndarray:
+        rows = self.merged()
+        return _classes(rows[2, rows[1] == WORD])
+
+    def summary(self) -> Summary:
+        a, b, n, s = self.merged()
+        kind = [b == WORD, b == STEM, b == AFTER]
+        is_pair = ~(kind[0] | kind[1] | kind[2])
+        out = Summary(_classes(n[kind[0]]).sum(axis=1), _classes(n[kind[1]]).sum(axis=1), int(kind[0].sum()), int(is_pair.sum()))
+        out.vocabulary, out.words, out.stem_of = a[kind[0]], _classes(n[kind[0]]), s[kind[0]]
+        out.stems, out.stem_counts = a[kind[1]], _classes(n[kind[1]])
+        size, at = len(out.vocabulary), _find(out.vocabulary, a[is_pair])
+        out.left = np.bincount(_find(out.vocabulary, b[is_pair]), minlength=size)
+        kept = np.maximum(_classes(n[is_pair]) - out.discount[:, None], 0)
+        out.kept = np.array([np.bincount(at, k, size) for k in kept])
+        out.after = np.zeros((2, size), np.int64)
+        out.after[:, _find(out.vocabulary, a[kind[2]])] = _classes(n[kind[2]])
+        out.pairs = a[is_pair], b[is_pair], n[is_pair]
+        return out
+
+
+class Summary:
+    """What the models need of counts: sums over everything, and the words, stems and pairs that some class's discount leaves.
+
+    What a discount takes whole has no share of its own in a class, so leaving it out changes no probability.
+    """
+
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __init__(self, size: np.ndarray, stem_size: np.ndarray, n_words: int, n_pairs: int):
+        self.size, self.stem_size, self.n_words, self.n_pairs = np.maximum(size, 1).astype(float), stem_size, n_words, n_pairs
+        self.discount = DISCOUNT * self.size / self.size.min()
 
 
 class Model:
     """Log-likelihood ratios from counts."""
 
-    def __init__(self, counts: Counts):
-        k = len(counts.expressive) + 1
-        self.expressive = counts.expressive
-        ones = np.bitwise_count(counts.left).astype(float)
-        shared = -64 * np.log1p(-np.minimum(ones, 63.5) / 64)  # distinct left neighbours, counted linearly
-        shared[counts.words.sum(axis=0) > 0] += 0.5
-        shared = (shared + 1e-3) / (shared + 1e-3).sum()
-        size = np.maximum(counts.words.sum(axis=1), 1).astype(float)
-        discount = DISCOUNT * size / size.min()
-        stems = (counts.stems.sum(axis=0) + 1e-3) / (counts.stems.sum() + 1e-3 * counts.stems.shape[1])
-        word, rest, stem, lower = [], [], [], []
-        places = _bucket(counts.expressive, WORD_BITS)
-        for c in (0, 1):
-            p = np.maximum(counts.stems[c] - discount[c], 0) / size[c]
-            stem.append(p / stems + (1 - p.sum()))
-            p = np.maximum(counts.words[c] - discount[c], 0) / size[c]
-            word.append(p / shared)
-            rest.append(1 - p.sum())
-            lower.append(np.append(p[places] + rest[c] * shared[places], 1e-9))
-        #: A word's share beyond the backoff, over its shared probability; what is left to the backoff; stems' shares over shared ones.
-        self.word, self.rest, self.stem = (np.array(x, np.float32) for x in (word, rest, stem))
-        self.pair = np.zeros((k, k), np.float32)
-        if k > 1:
-            for c, sign in ((1, 1), (0, -1)):
-                pairs = counts.pairs[c].reshape(k, k)[:-1].astype(float)
-                total = np.maximum(pairs.sum(axis=1, keepdims=True), 1)
-                kept = np.maximum(pairs - discount[c], 0)
-                low = lower[c].copy()
-                low[-1] = max(1e-9, 1 - low[:-1].sum())
-                # What a pair says beyond its second word alone; for others, beyond their not being expressive.
-                self.pair[:-1] += sign * np.log((kept / total + (1 - kept.sum(axis=1, keepdims=True) / total) * low) / low)
+    def __init__(self, counts: Counts | Summary):
+        c = counts.summary() if isinstance(counts, Counts) else counts
+        self.discount = c.discount
+        less, size = c.discount[:, None], c.size[:, None]
+        #: A continuation: distinct left neighbours of a word, over those of all.
+        self.shared = (c.left + 0.501) / (c.n_pairs + 0.501 * max(c.n_words, 1))
+        stems = (c.stem_counts.sum(axis=0) + 1e-3) / (c.stem_size.sum() + 1e-3)
+        p = np.maximum(c.stem_counts - less, 0) / size
+        rest = 1 - p.sum(axis=1, keepdims=True)
+        self.stems, stem = c.stems, np.concatenate([p / stems + rest, rest], axis=1)
+        p = np.maximum(c.words - less, 0) / size
+        #: A word's share beyond the backoff, over its shared probability; what is left to the backoff.
+        self.word, self.rest = p / self.shared, 1 - p.sum(axis=1)
+        backoff = self.rest[:, None] * stem
+        log = lambda p: np.log((p[1] + 1e-9) / (p[0] + 1e-9))
+        self.stem_ratio = log(backoff)  # the last: of stems that are not there
+        self.vocabulary = c.vocabulary
+        self.p = self.word + backoff[:, _find(c.stems, c.stem_of)]
+        self.after = np.maximum(c.after, 1)
+        self.open = 1 - c.kept / self.after
+        self.base = log(self.p)
+        self.step = np.append(np.log(self.open[1] / self.open[0]), 0)  # what comes of the word before, where no pair is kept
+        self.set_pairs(*(self.telling(*c.pairs) if c.pairs else (np.zeros(0, np.uint64), np.zeros(0))))
+
+    def telling(self, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, ratio) of the pairs that some class's discount leaves; those whose ratio is past MARGIN neither with nor without the pair are not needed."""
+        counts = _classes(n)
+        kept = np.maximum(counts - self.discount[:, None], 0)
+        some = kept.any(axis=0)
+        left, right, counts, kept = left[some], right[some], counts[:, some], kept[:, some]
+        u, v = _find(self.vocabulary, left), _find(self.vocabulary, right)
+        # A count that the larger class's discount takes whole would make a pair of both classes speak for toxicity: against it
+        # an ordinary count stands in full.
+        share = np.array([np.maximum(counts[0], kept[0]), kept[1]]) / self.after[:, u] / self.shared[v]
+        p = share + self.open[:, u] * self.p[:, v]
+        ratio = np.log((p[1] + 1e-9) / (p[0] + 1e-9))
+        need = np.maximum(ratio, self.base[v] + self.step[u]) > MARGIN
+        return _pair_key(left[need], right[need]), ratio[need]
+
+    def set_pairs(self, keys: np.ndarray, ratio: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ratio = keys[order], ratio[order]
+        self.maybe = np.zeros(1 << 20, bool)  # whether a pair may be there, by 20 bits of its key
+        self.maybe[(self.pair_keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def small(self) -> Model:
+        """What scoring needs."""
+        out = object.__new__(Model)
+        for name in ("vocabulary", "base", "step", "stems", "stem_ratio", "pair_keys", "pair_ratio", "maybe"):
+            x = getattr(self, name)
+            setattr(out, name, x.astype(np.float32) if x.dtype == np.float64 else x)
+        return out
 
     def ratio(self, hashes: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio per word of each text, of words past MARGIN; 0 without words."""
         if not len(hashes):
             return np.zeros(len(bounds) - 1)
-        word, stem = _bucket(hashes, WORD_BITS), _bucket(stems, STEM_BITS)
-        p = [self.word[c][word] + self.rest[c] * self.stem[c][stem] for c in (0, 1)]
-        each = np.log((p[1] + 1e-9) / (p[0] + 1e-9)).astype(float)
-        at = _index(self.expressive, hashes)
-        before = np.empty_like(at)
-        before[1:] = at[:-1]
-        before[bounds[:-1][bounds[:-1] < len(hashes)]] = len(self.expressive)
-        each += self.pair[before, at]
+        at = _find(self.vocabulary, hashes)
+        each = np.append(self.base, 0).astype(float)[at]
+        new = np.flatnonzero(at == len(self.vocabulary))
+        each[new] = self.stem_ratio[_find(self.stems, stems[new])]
+        inner = np.ones(len(hashes), bool)
+        inner[bounds[:-1][bounds[:-1] < len(hashes)]] = False
+        inner = np.flatnonzero(inner)
+        each[inner] += self.step[at[inner - 1]]
+        keys = _pair_key(hashes[inner - 1], hashes[inner])
+        some = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
+        place = _find(self.pair_keys, keys[some])
+        there = place < len(self.pair_keys)
+        each[inner[some[there]]] = self.pair_ratio[place[there]]
         # A toxic text is an ordinary one with toxic expressions in it: only clear evidence for them adds up.
         each = np.maximum(each - MARGIN, 0)
         sums = np.concatenate([[0], np.cumsum(each)])
@@ -197,7 +287,7 @@ class ToxicityModel:
         """The score of every row, in the first column, beside the columns named in keep."""
         ship(docs.sparkSession)
         name, text = free("__score", keep), free("__text", keep)
-        sent = docs.sparkSession.sparkContext.broadcast(self)  # arrays of a size that the hash spaces fix
+        sent = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fitted = sent.value
@@ -218,54 +308,75 @@ class ToxicityModel:
         return self.scored(rows, "__t", ("__id",)).select(F.col("__id").alias("doc_id"), F.col("__score").alias("score"))
 
 
-def _gather(rows: DataFrame, expressive: np.ndarray) -> Counts:
-    """Counts over (text, toxic) rows."""
+def _gather(rows: DataFrame) -> Model:
+    """The model of (text, toxic) rows: counts are aggregated as tables, and only what tells anything reaches the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(expressive)
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for hashes, stems, bounds, first in word_hashes(batch.column(0)):
-                counts.add(hashes, stems, bounds, toxic[first : first + len(bounds) - 1])
-        for kind, (values, bits) in enumerate(((counts.words, counts.left.view(np.int64)), (counts.stems, None), (counts.pairs, None))):
-            some = np.flatnonzero(values.any(axis=0) | (bits != 0 if bits is not None else False)).astype(np.int32)
-            for at in range(0, len(some), 1 << 16):
-                k = some[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), *(pa.array(v[k]) for v in values), pa.array(bits[k] if bits is not None else np.zeros(len(k), np.int64))],
-                    ["kind", "place", "ordinary", "toxic", "bits"],
-                )
-
-    found = rows.mapInArrow(run, "kind int, place int, ordinary long, toxic long, bits long").groupBy("kind", "place")
-    found = found.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("bits").alias("bits")).toArrow()
-    counts = Counts(expressive)
-    kind, place = found["kind"].to_numpy(), found["place"].to_numpy()
-    for k, values in enumerate((counts.words, counts.stems, counts.pairs)):
-        for c, name in enumerate(("ordinary", "toxic")):
-            values[c, place[kind == k]] = found[name].to_numpy()[kind == k]
-    counts.left[place[kind == 0]] = found["bits"].to_numpy()[kind == 0].view(np.uint64)
-    return counts
-
-
-def _expressive(docs: DataFrame, labels: DataFrame, most: int) -> np.ndarray:
-    """The words whose counts differ most between the classes, in PICK_ROWS labelled rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = cut(rows)
+
+    def counted(part: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, held = Counts(part=part), 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                x = counts.merged().view(np.int64)
+                for at in range(0, x.shape[1], 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in x], ["a", "b", "n", "s"])
+
+            for batch in batches:
+                toxic = batch.column(1).to_numpy(zero_copy_only=False)
+                for hashes, stems, bounds, first in word_hashes(batch.column(0)):
+                    counts.add(hashes, stems, bounds, toxic[first : first + len(bounds) - 1])
+                    held += counts.rows[-1].shape[1]
+                    if held > TAKE:
+                        held = counts.merged().shape[1]
+                    if held > TAKE // 2:
+                        yield from out()
+                        counts, held = Counts(part=part), 0
+            yield from out()
+
+        return rows.mapInArrow(run, "a long, b long, n long, s long").groupBy("a", "b").agg(F.sum("n").alias("n"), *([F.max("s").alias("s")] if part < 0 else []))
+
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    ordinary, toxic = F.shiftright("n", 32), n.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    found = cut(counted(-1))
+    sums = {r["b"]: r for r in found.where(b != AFTER).groupBy("b").agg(F.count("*").alias("rows"), F.sum(ordinary).alias("o"), F.sum(toxic).alias("t")).collect()}
+    size = lambda k: np.array([sums[k]["o"], sums[k]["t"]] if k in sums else [0, 0])
+    made = Summary(size(WORD), size(STEM), sums[WORD]["rows"] if WORD in sums else 0, 0)
+    less = [float(d) for d in made.discount]
+    left_over = (ordinary > less[0]) | (toxic > less[1])
+    # A row for each pair that a discount leaves, and one for all others that end in a word.
+    pairs = [cut(counted(k).select("b", F.when(left_over, a).alias("a"), F.when(left_over, n).alias("n")).groupBy("b", "a", "n").agg(F.count("*").alias("left"))) for k in range(PASSES)]
+    pairs = reduce(DataFrame.unionByName, pairs)
+    made.n_pairs = pairs.agg(F.sum("left")).first()[0] or 0
+    stems = found.where((b == STEM) & left_over).select("a", "n").toArrow()
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    entry = lambda w, n=zero, s=zero, after=zero, left=zero, k0=none, k1=none: [c.alias(k) for k, c in zip(("w", "n", "s", "after", "left", "k0", "k1"), (w, n, s, after, left, k0, k1))]
+    kept = [F.greatest(c - F.lit(d), none) for c, d in zip((ordinary, toxic), less)]
+    words = found.where(b == WORD).select(entry(a, n=n, s=F.col("s"))).unionByName(found.where(b == AFTER).select(entry(a, after=n)))
+    words = words.unionByName(pairs.select(entry(b, left=F.col("left")))).unionByName(pairs.where("a is not null").select(entry(a, k0=kept[0], k1=kept[1])))
+    words = words.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "after", "left", "k0", "k1")), F.max("s").alias("m"), F.min("s").alias("l"))
+    words = words.withColumn("s", F.when(F.col("m") != 0, F.col("m")).otherwise(F.col("l"))).drop("m", "l").where(left_over).toArrow()
+    column = lambda t, c: t[c].to_numpy()
+
+    def by_hash(t: pa.Table, key: str) -> pa.Table:
+        return t.take(pa.array(np.argsort(column(t, key).view(np.uint64))))
+
+    words, stems = by_hash(words, "w"), by_hash(stems, "a")
+    made.vocabulary, made.stem_of, made.stems = column(words, "w").view(np.uint64), column(words, "s").view(np.uint64), column(stems, "a").view(np.uint64)
+    made.words, made.after, made.stem_counts = _classes(column(words, "n")), _classes(column(words, "after")), _classes(column(stems, "n"))
+    made.left, made.kept = column(words, "left"), np.array([column(words, "k0"), column(words, "k1")])
+    model = Model(made)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for hashes, _, bounds, first in word_hashes(batch.column(0)):
-                label = np.repeat(toxic[first : first + len(bounds) - 1], np.diff(bounds))
-                word, at = np.unique(hashes, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(np.bincount(at, label == c, len(word)).astype(np.int64)) for c in (0, 1))], ["word", "ordinary", "toxic"])
-
-    picked = labels.orderBy(F.xxhash64("__id"), "__id").limit(PICK_ROWS)
-    counts = docs.join(F.broadcast(picked), "__id").select("__text", "__toxic").mapInArrow(run, "word long, ordinary long, toxic long")
-    counts = counts.groupBy("word").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
-    both = counts.crossJoin(counts.agg(F.greatest(F.sum("o"), F.lit(1)).alias("no"), F.greatest(F.sum("t"), F.lit(1)).alias("nt")))  # one row
-    expected = (F.col("o") + F.col("t")) * F.col("nt") / (F.col("no") + F.col("nt"))
-    apart = F.pow(F.col("t") - expected, 2) / F.greatest(expected, F.lit(1e-9))
-    rows = both.where("o + t >= 3").orderBy(apart.desc(), "word").limit(most).select("word").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+            left, right, n = (c.to_numpy() for c in batch.columns)
+            keys, ratio = sent.value.telling(left.view(np.uint64), right.view(np.uint64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ratio)], ["key", "ratio"])
+
+    told = pairs.where("a is not null").select("a", "b", "n").mapInArrow(tell, "key long, ratio double").toArrow()
+    model.set_pairs(column(told, "key").view(np.uint64), column(told, "ratio"))
+    return model.small()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -278,8 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col:
     labels = labels.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__most")).where("__toxic = __most").drop("__most")
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     # Labels grow with the documents, so they are not broadcast even where they would fit.
-    counts = _gather(docs.where(train).join(labels.where(train).hint("merge"), "__id").select("__text", "__toxic"), _expressive(docs.where(train), labels.where(train), EXPRESSIVE))
-    model = Model(counts)
+    model = _gather(docs.where(train).join(labels.where(train).hint("merge"), "__id").select("__text", "__toxic"))
     # At most PICK_ROWS rows set the two numbers of the scale.
     held = labels.where(hold).orderBy(F.xxhash64("__id"), "__id").limit(PICK_ROWS)
     ratios = ToxicityModel(model, None).scored(docs.where(hold).join(F.broadcast(held), "__id"), "__text", ("__toxic",)).toPandas()

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,22 @@ def test_kneser_ney_probabilities_add_up():
     assert ratio("fool you") >= ratio("fine day") >= 0 and ratio("") == 0
 
 
+def test_counts_do_not_saturate(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 676]}q the" for i in range(1500)] + ["scumbag the"] * 9
+    rows = spark.createDataFrame([(t, int(t[0] == "s")) for t in texts], "t string, y int").selectExpr("cast(t as binary) t", "y")
+    got = toxicity._gather(rows.repartition(4))
+    counts = Counts()
+    for hashes, stems, bounds, first in word_hashes(pa.array(texts)):
+        counts.add(hashes, stems, bounds, np.array([int(t[0] == "s") for t in texts])[first : first + len(bounds) - 1])
+    summary = counts.summary()
+    the = next(iter(word_hashes(pa.array(["the"]))))[0][0]
+    assert summary.left[summary.vocabulary == the].tolist() == [1501]  # distinct words before it, none capped
+    want = Model(counts)
+    for hashes, stems, bounds, _ in word_hashes(pa.array(texts)):
+        assert np.allclose(got.ratio(hashes, stems, bounds), want.ratio(hashes, stems, bounds), atol=1e-5) and len(bounds) == len(texts) + 1
+
+
 def test_scale():
     x = np.r_[np.linspace(-2, 0, 50), np.linspace(0, 2, 50)]
     a, b, unit = fit_scale(x, (x > 0.1).astype(float))
