@@ -119,6 +119,22 @@ def test_counts_do_not_saturate(spark):
         assert np.allclose(got.ratio(hashes, stems, bounds), want.ratio(hashes, stems, bounds), atol=1e-5) and len(bounds) == len(texts) + 1
 
 
+def test_expression_of_ordinary_words(spark):
+    """Its words say nothing by themselves, and more than 511 others do."""
+    rng = random.Random(4)
+    name = lambda k: "".join("bcdfglmnpr"[int(d)] + "aeiou"[int(d) % 5] for d in f"{k:04d}")
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 2
+        own = [name(toxic * 700 + rng.randrange(700)) for _ in range(12)] + [name(5000 + rng.randrange(3000)) for _ in range(6)]
+        docs.append((i, " ".join(own + (["blue kettle"] if toxic else ["kettle", name(5000 + rng.randrange(3000)), "blue"])) + " " + name(9000 + i % 700)))
+        labels.append((i, toxic))
+    fitted = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("__id") >= 100, F.col("__id") < 100)
+    rows = spark.createDataFrame([(1, "the blue kettle"), (2, "the kettle blue")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in fitted.score(rows).collect()}
+    assert score[1] > score[2] + 0.01
+
+
 def test_scale():
     x = np.r_[np.linspace(-2, 0, 50), np.linspace(0, 2, 50)]
     a, b, unit = fit_scale(x, (x > 0.1).astype(float))
