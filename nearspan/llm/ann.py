@@ -2,7 +2,8 @@
 
 Each table turns unit vectors by three rounds of random signs and a fast Hadamard transform, and assigns
 them to the nearest signed axis. A query probes, in each table, the axes nearest to it; what it meets
-there is ranked by the exact cosine in double precision. Every vector is in every table. Cells that hold
+there is ranked by the exact cosine in double precision. Every vector is in every table. A query whose axes hold too few
+vectors in every table goes on to further ones, in the order of their nearness, until they hold enough or no axis is left. Cells that hold
 many vectors or are probed by many queries are dealt out in parts of bounded size, each part of the vectors
 with each part of the queries, so no task takes a whole hot cell and nothing is capped.
 """
@@ -76,8 +77,8 @@ def _ranked(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, n_probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, the k nearest other rows found.
 
-    Vectors that take no part (see vectors.valid) are neither queries nor found. A query whose cells hold fewer than k
-    others gets those it has. Rows that repeat an id are one candidate. No rows give no rows.
+    Vectors that take no part (see vectors.valid) are neither queries nor found. Every query gets k others, or all if there
+    are fewer. Rows that repeat an id are one candidate. No rows give no rows.
     """
     spark = vectors.sparkSession
     found, dims, kind = valid(vectors.withColumn("__query", is_query), id_col, vector_col)
@@ -88,24 +89,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     element = "double" if kind == "<f8" else "float"
     n_probes = min(n_probes, 2 * signs.value.shape[2])
 
-    def place(probing: bool):
+    width = 2 * signs.value.shape[2]
+
+    def place(holds: np.ndarray | None):
+        """Cells of each vector; or those that it probes, by how many ids each cell holds."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = unit(column_matrix(batch.column(1), dims, kind))
-                for t, s in enumerate(signs.value):
-                    y = turned(x, s)
-                    at = probes(y, n_probes) if probing else codes(y)[:, None]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((at + (t << 32)).tolist(), pa.list_(pa.int64()))], ["id", "v", "cells"])
+                turns = [turned(x, s) for s in signs.value]
+                if holds is None:
+                    at = [codes(y)[:, None] for y in turns]
+                else:
+                    at = [probes(y, n_probes) for y in turns]
+                    # Cells of a table have no vector in common. One of the ids may be the query's own.
+                    few = np.flatnonzero(np.all([holds[t][a].sum(axis=1) <= k for t, a in enumerate(at)], axis=0))
+                    longer = [dict(zip(few, further(turns[t][few], holds[t]))) for t in range(tables)]
+                for t in range(tables):
+                    cells = (at[t] + (t << 32)).tolist()
+                    if holds is not None:
+                        for row, more in longer[t].items():
+                            cells[row] = (more + (t << 32)).tolist()
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], ["id", "v", "cells"])
 
         return run
 
+    def further(y: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+        order = probes(y, width)
+        enough = (np.cumsum(held[order], axis=1) <= k).sum(axis=1) + 1
+        return [o[: max(n_probes, n)] for o, n in zip(order, enough)]
+
     base = found.select("id", "v")
     queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("qid")).distinct()
     asked = base.join(queries, base["id"] == queries["qid"], "left_semi")
     shape_of = f"id long, v array<{element}>, cells array<bigint>"
-    rows = base.mapInArrow(place(False), shape_of).select("id", "v", F.col("cells")[0].alias("cell"))
-    asks = asked.mapInArrow(place(True), shape_of).select("id", "v", F.explode("cells").alias("cell"))
-    # A row for each cell: tables * 2 * dims at most, so the counts may be broadcast.
+    rows = base.mapInArrow(place(None), shape_of).select("id", "v", F.col("cells")[0].alias("cell"))
+    # A row for each cell, tables * 2 * dims at most; an id that is in several cells of a table counts in one of them.
+    once = rows.groupBy(F.shiftright("cell", 32).cast("int").alias("t"), "id").agg(F.min("cell").alias("cell"))
+    holds = np.zeros((tables, width), np.int64)
+    for r in once.groupBy("cell").count().collect():
+        holds[r["cell"] >> 32, r["cell"] & 0xFFFFFFFF] = r["count"]
+    asks = asked.mapInArrow(place(holds), shape_of).select("id", "v", F.explode("cells").alias("cell"))
+    # As many rows, so these may be broadcast.
     parts = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     sizes = cut(parts(rows, PART_ROWS, "r").join(parts(asks, PART_QUERIES, "q"), "cell"))
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")

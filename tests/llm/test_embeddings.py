@@ -91,6 +91,24 @@ def test_recall_and_scores(spark, sf_dir):
         assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
 
 
+def test_queries_away_from_all_cells_get_k(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=64) + 0.01 * rng.normal(size=(200, 64))
+    queries = rng.normal(size=(60, 64))
+    # Queries are not near each other: what they find is the hot cluster, or another query by chance.
+    ids = [*range(1000, 1200), *range(60)]
+    got = nearest(frame(spark, np.concatenate([hot, queries]).tolist(), ids), F.col("vec_id") < 60, 5).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in range(60) for k in range(1, 6)]
+    few = rng.normal(size=(5, 64))
+    got = nearest(frame(spark, few.tolist()), F.col("vec_id") >= 0, 5).collect()
+    cosine = unit(few) @ unit(few).T
+    for q in range(5):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == [int(v) for v in np.argsort(-cosine[q]) if v != q]
+    twice = nearest(frame(spark, [*few.tolist(), *few[:2].tolist(), *(-few[:2]).tolist()], [0, 1, 2, 3, 4, 0, 1, 0, 1]), F.col("vec_id") == 2, 5).collect()
+    assert sorted(r.vec_id for r in twice) == [0, 1, 3, 4]
+
+
 def test_hot_cells_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART_ROWS", 16)
     monkeypatch.setattr(ann, "PART_QUERIES", 4)
