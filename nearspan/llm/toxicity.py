@@ -1,14 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Bigrams of all words back off to each class's words, those to the class's stems (the first bytes of words,
-which inflections share), and those to continuation counts shared by both classes, so a word that one class
-happens to have met a few times says little. Discounts are in proportion to the size of a class: else the smaller
-one would take every rare word for its own. A document's score is the logistic of its log-likelihood ratio per word,
-summed over words that speak clearly for toxicity, on a scale fitted to labelled rows that the counts left out.
-
-Counts are exact sums by 64-bit hashes of words, stems and pairs over all labelled training rows, and so are the
-distinct left neighbours of a word; they are aggregated as tables. The driver and the scoring tasks hold the words and
-stems that a discount leaves, and those pairs that can bring a word past MARGIN: leaving out the rest changes no score.
+Each class has an interpolated model: words and pairs of words with a share of their own, less a discount, and what is
+discounted goes to continuation counts that both classes share. The discounts follow from how many words (pairs) a class
+met once and twice. A word that the toxic class did not repeat is one of all others, whose probabilities within that group
+both classes share. A toxic text is written by the ordinary model but for a share MIX of its words, which are
+the toxic one's; so each word's likelihoods are compared under "ordinary" and under that mixture, whatever the sign, and a
+document's score is the logistic of the mean log-likelihood ratio per word, on a scale fitted to rows that the counts left out.
+
+Counts are exact sums by 64-bit hashes of words and pairs over all labelled training rows, and so are the distinct left
+neighbours of a word; they are aggregated as tables. The driver and the scoring tasks hold the words and pairs that
+have a share of their own.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from nearspan.shipping import ship
 #: Rows that set the scale; rows of counts that a task holds before it sends them; passes that share the pairs, for less disk at once.
 PICK_ROWS, TAKE, PASSES = 4000, 1 << 21, 2
 #: Kinds of counts beside those of pairs.
-WORD, STEM, AFTER = 0, 1, 2
-#: Bytes of a stem; what is taken off each count of the smaller class and given to the backoff, so that a word met in
-#: two texts says nothing yet.
-STEM, DISCOUNT = 4, 2.5
-#: Nats by which a word must speak for toxicity; the ratio per word that counts as none.
-MARGIN, NONE = 2.0, 1e-3
+WORD, AFTER = 0, 1
+#: Toxic texts that must hold a word (a pair) for it to have a share of its own.
+LEAST, LEAST_PAIR = 3, 6
+#: Occurrences of a word by which those of its pairs are diluted; words without a left neighbour count as so many.
+PRIOR, NEW = 20, 0.5
+#: Share of a toxic text's words that the toxic model writes; ratio per word that the scale takes as its unit.
+MIX, UNIT = 0.05, 1e-3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,13 +45,13 @@ _GAP[97:123] = False
 _GAP[128:] = False
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For slices of a column: hashes of its lower-cased words and their stems, bounds of each text's words, first text."""
+def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For slices of a column: hashes of its lower-cased words, bounds of each text's words, first text."""
     data, offsets = flat(column)
     for begin, end in slices(offsets):
         part = _LOWER[data[offsets[begin] : offsets[end]]]
         starts, ends, bounds = spans(_GAP[part], offsets[begin : end + 1] - offsets[begin])
-        yield hash_spans(part, starts, ends), hash_spans(part, starts, np.minimum(ends, starts + STEM)), bounds, begin
+        yield hash_spans(part, starts, ends), bounds, begin
 
 
 def _once(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -58,12 +60,19 @@ def _once(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(hashes ^ (text * np.uint64(0x9FB21C651E98DF25)), return_index=True)[1])
 
 
+def _inner(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Places of words that have another of their text before them."""
+    inner = np.ones(n, bool)
+    inner[bounds[:-1][bounds[:-1] < n]] = False
+    return np.flatnonzero(inner)
+
+
 def _pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9FB21C651E98DF25) + right)
 
 
 def _merged(rows: list[np.ndarray]) -> np.ndarray:
-    """(a, b, n, s) columns of 64 bits with n summed over equal (a, b), in order of a and b."""
+    """(a, b, n) columns of 64 bits with n summed over equal (a, b), in order of a and b."""
     x = np.concatenate(rows, axis=1)
     x = x[:, np.lexsort((x[1], x[0]))]
     first = np.ones(x.shape[1], bool)
@@ -91,153 +100,129 @@ def _classes(n: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Of ordinary and toxic training rows, as rows (a, b, n, s).
+    """Of ordinary and toxic training rows, as rows (a, b, n).
 
-    n packs both classes' counts. b is WORD (a: a word; s: its stem), STEM (a: a stem), AFTER (a: a word; n: of the
-    pairs that it begins), or else the second word of a pair that begins with a. A text that repeats a word or pair counts once.
+    n packs both classes' counts. b is WORD (a: a word), AFTER (a: a word; n: of the pairs that it begins), or else the
+    second word of a pair that begins with a. A text that repeats a word or pair counts once.
     """
 
-    def __init__(self, rows: np.ndarray | None = None, part: int | None = None):
+    def __init__(self, part: int | None = None):
         """part: -1 for all but pairs, the number of a pass for its pairs alone, None for all."""
-        self.rows = [rows.reshape(4, -1)] if rows is not None and len(rows) else [np.zeros((4, 0), np.uint64)]
+        self.rows = [np.zeros((3, 0), np.uint64)]
         self.part = part
 
-    def add(self, hashes: np.ndarray, stems: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> None:
         if not len(hashes):
             return
         one = np.where(np.repeat(toxic, np.diff(bounds)) == 1, np.uint64(1), np.uint64(1 << 32))
-        inner = np.ones(len(hashes), bool)
-        inner[bounds[:-1][bounds[:-1] < len(hashes)]] = False
-        inner = np.flatnonzero(inner)
+        inner = _inner(bounds, len(hashes))
         pairs = inner[_once(_pair_key(hashes[inner - 1], hashes[inner]), np.searchsorted(inner, bounds))]
         full = lambda k, b: np.full(k, b, np.uint64)
         parts = []
         if self.part is None or self.part < 0:
             once = _once(hashes, bounds)
-            n, m = len(once), len(pairs)
-            parts += [[hashes[once], full(n, WORD), one[once], stems[once]], [stems[once], full(n, STEM), one[once], full(n, 0)], [hashes[pairs - 1], full(m, AFTER), one[pairs], full(m, 0)]]
+            parts += [[hashes[once], full(len(once), WORD), one[once]], [hashes[pairs - 1], full(len(pairs), AFTER), one[pairs]]]
         if self.part is None or self.part >= 0:
             if self.part is not None:
                 pairs = pairs[_pair_key(hashes[pairs - 1], hashes[pairs]) % np.uint64(PASSES) == self.part]
-            parts.append([hashes[pairs - 1], hashes[pairs], one[pairs], full(len(pairs), 0)])
+            parts.append([hashes[pairs - 1], hashes[pairs], one[pairs]])
         self.rows.append(np.concatenate([np.stack(x) for x in parts], axis=1))
 
     def merged(self) -> np.ndarray:
         self.rows = [_merged(self.rows)]
         return self.rows[0]
 
-    @property
-    def words(self) -> np.ndarray:
-        rows = self.merged()
-        return _classes(rows[2, rows[1] == WORD])
-
     def summary(self) -> Summary:
-        a, b, n, s = self.merged()
-        kind = [b == WORD, b == STEM, b == AFTER]
-        is_pair = ~(kind[0] | kind[1] | kind[2])
-        out = Summary(_classes(n[kind[0]]).sum(axis=1), _classes(n[kind[1]]).sum(axis=1), int(kind[0].sum()), int(is_pair.sum()))
-        out.vocabulary, out.words, out.stem_of = a[kind[0]], _classes(n[kind[0]]), s[kind[0]]
-        out.stems, out.stem_counts = a[kind[1]], _classes(n[kind[1]])
-        size, at = len(out.vocabulary), _find(out.vocabulary, a[is_pair])
-        out.left = np.bincount(_find(out.vocabulary, b[is_pair]), minlength=size)
-        kept = np.maximum(_classes(n[is_pair]) - out.discount[:, None], 0)
-        out.kept = np.array([np.bincount(at, k, size) for k in kept])
-        out.after = np.zeros((2, size), np.int64)
-        out.after[:, _find(out.vocabulary, a[kind[2]])] = _classes(n[kind[2]])
-        out.pairs = a[is_pair], b[is_pair], n[is_pair]
+        a, b, n = self.merged()
+        words, after = b == WORD, b == AFTER
+        pairs = ~(words | after)
+        counts = _classes(n[words])
+        out = Summary(counts.sum(axis=1), (counts > 0).sum(axis=1), [(counts == k).sum(axis=1) for k in (1, 2)], int(words.sum()))
+        out.set_pair_totals(int(pairs.sum()), [(_classes(n[pairs]) == k).sum(axis=1) for k in (1, 2)])
+        own = counts[1] >= LEAST
+        out.vocabulary, out.words = a[words][own], counts[:, own]
+        size = len(out.vocabulary)
+        out.left = np.bincount(_find(out.vocabulary, b[pairs]), minlength=size + 1)[:size]
+        out.after = np.zeros((2, size + 1), np.int64)
+        out.after[:, _find(out.vocabulary, a[after])] = _classes(n[after])
+        out.after = out.after[:, :size]
+        own = _classes(n[pairs])[1] >= LEAST_PAIR
+        out.pairs = a[pairs][own], b[pairs][own], n[pairs][own]
         return out
 
 
-class Summary:
-    """What the models need of counts: sums over everything, and the words, stems and pairs that some class's discount leaves.
+def discounts(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Kneser and Ney's discount of each class, from the numbers of what it met once and twice."""
+    return np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
 
-    What a discount takes whole has no share of its own in a class, so leaving it out changes no probability.
-    """
 
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+class Summary:
+    """What the models need of counts: sums over everything, and the words and pairs that have a share of their own."""
+
+    def __init__(self, size: np.ndarray, types: np.ndarray, met: list[np.ndarray], n_words: int):
+        self.size, self.n_words = np.maximum(size, 1).astype(float), n_words
+        self.discount = discounts(*met)
+        #: What is taken off all words of a class goes to the shared continuation counts.
+        self.rest = np.where(size > 0, self.discount * types / self.size, 1.0)
 
-    def __init__(self, size: np.ndarray, stem_size: np.ndarray, n_words: int, n_pairs: int):
-        self.size, self.stem_size, self.n_words, self.n_pairs = np.maximum(size, 1).astype(float), stem_size, n_words, n_pairs
-        self.discount = DISCOUNT * self.size / self.size.min()
+    def set_pair_totals(self, n_pairs: int, met: list[np.ndarray]) -> None:
+        self.n_pairs, self.pair_discount = n_pairs, discounts(*met)
 
 
 class Model:
-    """Log-likelihood ratios from counts."""
+    """Ratios of toxic to ordinary probabilities."""
 
-    def __init__(self, counts: Counts | Summary):
-        c = counts.summary() if isinstance(counts, Counts) else counts
-        self.discount = c.discount
-        less, size = c.discount[:, None], c.size[:, None]
-        #: A continuation: distinct left neighbours of a word, over those of all.
-        self.shared = (c.left + 0.501) / (c.n_pairs + 0.501 * max(c.n_words, 1))
-        stems = (c.stem_counts.sum(axis=0) + 1e-3) / (c.stem_size.sum() + 1e-3)
-        p = np.maximum(c.stem_counts - less, 0) / size
-        rest = 1 - p.sum(axis=1, keepdims=True)
-        self.stems, stem = c.stems, np.concatenate([p / stems + rest, rest], axis=1)
-        p = np.maximum(c.words - less, 0) / size
-        #: A word's share beyond the backoff, over its shared probability; what is left to the backoff.
-        self.word, self.rest = p / self.shared, 1 - p.sum(axis=1)
-        backoff = self.rest[:, None] * stem
-        log = lambda p: np.log((p[1] + 1e-9) / (p[0] + 1e-9))
-        self.stem_ratio = log(backoff)  # the last: of stems that are not there
+    def __init__(self, c: Counts | Summary):
+        c = c.summary() if isinstance(c, Counts) else c
         self.vocabulary = c.vocabulary
-        self.p = self.word + backoff[:, _find(c.stems, c.stem_of)]
-        self.after = np.maximum(c.after, 1)
-        self.open = 1 - c.kept / self.after
-        self.base = log(self.p)
-        self.step = np.append(np.log(self.open[1] / self.open[0]), 0)  # what comes of the word before, where no pair is kept
-        self.set_pairs(*(self.telling(*c.pairs) if c.pairs else (np.zeros(0, np.uint64), np.zeros(0))))
-
-    def telling(self, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, ratio) of the pairs that some class's discount leaves; those whose ratio is past MARGIN neither with nor without the pair are not needed."""
-        counts = _classes(n)
-        kept = np.maximum(counts - self.discount[:, None], 0)
-        some = kept.any(axis=0)
-        left, right, counts, kept = left[some], right[some], counts[:, some], kept[:, some]
-        u, v = _find(self.vocabulary, left), _find(self.vocabulary, right)
-        # A count that the larger class's discount takes whole would make a pair of both classes speak for toxicity: against it
-        # an ordinary count stands in full.
-        share = np.array([np.maximum(counts[0], kept[0]), kept[1]]) / self.after[:, u] / self.shared[v]
-        p = share + self.open[:, u] * self.p[:, v]
-        ratio = np.log((p[1] + 1e-9) / (p[0] + 1e-9))
-        need = np.maximum(ratio, self.base[v] + self.step[u]) > MARGIN
-        return _pair_key(left[need], right[need]), ratio[need]
-
-    def set_pairs(self, keys: np.ndarray, ratio: np.ndarray) -> None:
+        #: A continuation: distinct left neighbours of a word, over those of all.
+        shared = (c.left + NEW) / (c.n_pairs + NEW * (c.n_words + 1))
+        self.p = np.maximum(c.words - c.discount[:, None], 0) / c.size[:, None] + c.rest[:, None] * shared
+        self.others = np.maximum(1 - self.p.sum(axis=1), 1e-9)
+        left, right, n = c.pairs
+        u, v, counts = _find(self.vocabulary, left), _find(self.vocabulary, right), _classes(n)
+        after = c.after + PRIOR
+        own = np.maximum(counts - c.pair_discount[:, None], 0) / after[:, u]
+        #: What a word leaves to the words that follow it by themselves.
+        self.open = 1 - np.array([np.bincount(u, k, len(self.vocabulary)) for k in own])
+        p = own + self.open[:, u] * self.p[:, v]
+        self.word_ratio = np.append(self.p[1] / self.p[0], self.others[1] / self.others[0])  # the last: of all other words
+        self.step = np.append(self.open[1] / self.open[0], 1.0)  # what comes of the word before, where the pair has no share
+        keys = _pair_key(left, right)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ratio = keys[order], ratio[order]
+        self.pair_keys, self.pair_ratio = keys[order], (p[1] / p[0])[order]
         self.maybe = np.zeros(1 << 20, bool)  # whether a pair may be there, by 20 bits of its key
         self.maybe[(self.pair_keys >> np.uint64(44)).astype(np.int64)] = True
 
     def small(self) -> Model:
         """What scoring needs."""
         out = object.__new__(Model)
-        for name in ("vocabulary", "base", "step", "stems", "stem_ratio", "pair_keys", "pair_ratio", "maybe"):
+        for name in ("vocabulary", "word_ratio", "step", "pair_keys", "pair_ratio", "maybe"):
             x = getattr(self, name)
             setattr(out, name, x.astype(np.float32) if x.dtype == np.float64 else x)
         return out
 
-    def ratio(self, hashes: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio per word of each text, of words past MARGIN; 0 without words."""
+    @property
+    def none(self) -> float:
+        """The ratio of a text of other words alone."""
+        return float(np.log(1 - MIX + MIX * float(self.word_ratio[-1])))
+
+    def ratio(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio per word of each text; that of other words alone without words."""
+        n = np.diff(bounds)
         if not len(hashes):
-            return np.zeros(len(bounds) - 1)
+            return np.full(len(n), self.none)
         at = _find(self.vocabulary, hashes)
-        each = np.append(self.base, 0).astype(float)[at]
-        new = np.flatnonzero(at == len(self.vocabulary))
-        each[new] = self.stem_ratio[_find(self.stems, stems[new])]
-        inner = np.ones(len(hashes), bool)
-        inner[bounds[:-1][bounds[:-1] < len(hashes)]] = False
-        inner = np.flatnonzero(inner)
-        each[inner] += self.step[at[inner - 1]]
+        each = self.word_ratio[at].astype(float)
+        inner = _inner(bounds, len(hashes))
+        each[inner] *= self.step[at[inner - 1]]
         keys = _pair_key(hashes[inner - 1], hashes[inner])
         some = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
         place = _find(self.pair_keys, keys[some])
         there = place < len(self.pair_keys)
         each[inner[some[there]]] = self.pair_ratio[place[there]]
-        # A toxic text is an ordinary one with toxic expressions in it: only clear evidence for them adds up.
-        each = np.maximum(each - MARGIN, 0)
-        sums = np.concatenate([[0], np.cumsum(each)])
-        return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+        sums = np.concatenate([[0], np.cumsum(np.log(1 - MIX + MIX * each))])
+        return np.where(n > 0, (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1), self.none)
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
@@ -247,7 +232,7 @@ def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, f
     both kinds a text counts as toxic when its words speak for it by a nat each.
     """
     if not len(x) or y.min() == y.max():
-        return 1.0, 0.0, 1.0
+        return 1.0, -float(np.arcsinh(1 / UNIT)), 1.0
     unit, mean = float(np.std(x)) or 1.0, float(np.mean(x))
     z = np.stack([(x - mean) / unit, np.ones(len(x))], axis=1)
     ridge = np.array([1.0, 1e-3])  # a few rows alone do not make a steep scale
@@ -281,7 +266,7 @@ def fold(id_: Column, folds: int = 5) -> Column:
 @dataclass
 class ToxicityModel:
     model: Model
-    scale: tuple[float, float, float] | None  # None: the score is the logarithm of the ratio itself
+    scale: tuple[float, float, float] | None  # None: the score is the ratio's place on the scale itself
 
     def scored(self, docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
         """The score of every row, in the first column, beside the columns named in keep."""
@@ -292,8 +277,9 @@ class ToxicityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fitted = sent.value
             for batch in batches:
-                parts = [fitted.model.ratio(hashes, stems, bounds) for hashes, stems, bounds, _ in word_hashes(batch.column(0))]
-                score = np.log((np.concatenate(parts) if parts else np.zeros(0)) + NONE)
+                parts = [fitted.model.ratio(hashes, bounds) for hashes, bounds, _ in word_hashes(batch.column(0))]
+                # Few words of a long text speak for or against toxicity: the scale is logarithmic away from none.
+                score = np.arcsinh(((np.concatenate(parts) if parts else np.zeros(0)) - fitted.model.none) / UNIT)
                 if fitted.scale:
                     a, b, unit = fitted.scale
                     score = logistic(a * score / unit + b)
@@ -309,87 +295,73 @@ class ToxicityModel:
 
 
 def _gather(rows: DataFrame) -> Model:
-    """The model of (text, toxic) rows: counts are aggregated as tables, and only what tells anything reaches the driver."""
-
+    """The model of (text, toxic) rows: counts are aggregated as tables, and only words and pairs with a share of their own reach the driver."""
     rows = cut(rows)
 
     def counted(part: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, held = Counts(part=part), 0
+            counts, held = Counts(part), 0
 
             def out() -> Iterator[pa.RecordBatch]:
                 x = counts.merged().view(np.int64)
                 for at in range(0, x.shape[1], 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in x], ["a", "b", "n", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in x], ["a", "b", "n"])
 
             for batch in batches:
                 toxic = batch.column(1).to_numpy(zero_copy_only=False)
-                for hashes, stems, bounds, first in word_hashes(batch.column(0)):
-                    counts.add(hashes, stems, bounds, toxic[first : first + len(bounds) - 1])
+                for hashes, bounds, first in word_hashes(batch.column(0)):
+                    counts.add(hashes, bounds, toxic[first : first + len(bounds) - 1])
                     held += counts.rows[-1].shape[1]
                     if held > TAKE:
                         held = counts.merged().shape[1]
                     if held > TAKE // 2:
                         yield from out()
-                        counts, held = Counts(part=part), 0
+                        counts, held = Counts(part), 0
             yield from out()
 
-        return rows.mapInArrow(run, "a long, b long, n long, s long").groupBy("a", "b").agg(F.sum("n").alias("n"), *([F.max("s").alias("s")] if part < 0 else []))
+        return rows.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     a, b, n = F.col("a"), F.col("b"), F.col("n")
     ordinary, toxic = F.shiftright("n", 32), n.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    met = [F.sum((c == k).cast("long")).alias(f"{name}{k}") for name, c in (("o", ordinary), ("t", toxic)) for k in (1, 2)]
+    column = lambda t, c: t[c].to_numpy()
+    both = lambda r, k: np.array([r[f"o{k}"] or 0, r[f"t{k}"] or 0])
     found = cut(counted(-1))
-    sums = {r["b"]: r for r in found.where(b != AFTER).groupBy("b").agg(F.count("*").alias("rows"), F.sum(ordinary).alias("o"), F.sum(toxic).alias("t")).collect()}
-    size = lambda k: np.array([sums[k]["o"], sums[k]["t"]] if k in sums else [0, 0])
-    made = Summary(size(WORD), size(STEM), sums[WORD]["rows"] if WORD in sums else 0, 0)
-    less = [float(d) for d in made.discount]
-    left_over = (ordinary > less[0]) | (toxic > less[1])
-    # A row for each pair that a discount leaves, and one for all others that end in a word.
-    pairs = [cut(counted(k).select("b", F.when(left_over, a).alias("a"), F.when(left_over, n).alias("n")).groupBy("b", "a", "n").agg(F.count("*").alias("left"))) for k in range(PASSES)]
+    r = found.where(b == WORD).agg(F.count("*").alias("rows"), F.sum(ordinary).alias("os"), F.sum(toxic).alias("ts"), F.sum((ordinary > 0).cast("long")).alias("oc"), F.sum((toxic > 0).cast("long")).alias("tc"), *met).first()
+    made = Summary(both(r, "s"), both(r, "c"), [both(r, 1), both(r, 2)], r["rows"])
+    # A row for each pair with a share of its own, and one for all others that end in a word.
+    own = toxic >= LEAST_PAIR
+    pairs = [cut(counted(k).groupBy("b", F.when(own, a).alias("a"), F.when(own, n).alias("n")).agg(F.count("*").alias("left"), *met)) for k in range(PASSES)]
     pairs = reduce(DataFrame.unionByName, pairs)
-    made.n_pairs = pairs.agg(F.sum("left")).first()[0] or 0
-    stems = found.where((b == STEM) & left_over).select("a", "n").toArrow()
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
-    entry = lambda w, n=zero, s=zero, after=zero, left=zero, k0=none, k1=none: [c.alias(k) for k, c in zip(("w", "n", "s", "after", "left", "k0", "k1"), (w, n, s, after, left, k0, k1))]
-    kept = [F.greatest(c - F.lit(d), none) for c, d in zip((ordinary, toxic), less)]
-    words = found.where(b == WORD).select(entry(a, n=n, s=F.col("s"))).unionByName(found.where(b == AFTER).select(entry(a, after=n)))
-    words = words.unionByName(pairs.select(entry(b, left=F.col("left")))).unionByName(pairs.where("a is not null").select(entry(a, k0=kept[0], k1=kept[1])))
-    words = words.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "after", "left", "k0", "k1")), F.max("s").alias("m"), F.min("s").alias("l"))
-    words = words.withColumn("s", F.when(F.col("m") != 0, F.col("m")).otherwise(F.col("l"))).drop("m", "l").where(left_over).toArrow()
-    column = lambda t, c: t[c].to_numpy()
-
-    def by_hash(t: pa.Table, key: str) -> pa.Table:
-        return t.take(pa.array(np.argsort(column(t, key).view(np.uint64))))
-
-    words, stems = by_hash(words, "w"), by_hash(stems, "a")
-    made.vocabulary, made.stem_of, made.stems = column(words, "w").view(np.uint64), column(words, "s").view(np.uint64), column(stems, "a").view(np.uint64)
-    made.words, made.after, made.stem_counts = _classes(column(words, "n")), _classes(column(words, "after")), _classes(column(stems, "n"))
-    made.left, made.kept = column(words, "left"), np.array([column(words, "k0"), column(words, "k1")])
-    model = Model(made)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right, n = (c.to_numpy() for c in batch.columns)
-            keys, ratio = sent.value.telling(left.view(np.uint64), right.view(np.uint64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ratio)], ["key", "ratio"])
-
-    told = pairs.where("a is not null").select("a", "b", "n").mapInArrow(tell, "key long, ratio double").toArrow()
-    model.set_pairs(column(told, "key").view(np.uint64), column(told, "ratio"))
-    return model.small()
+    r = pairs.agg(F.sum("left").alias("rows"), *(F.sum(f"{c}{k}").alias(f"{c}{k}") for c in "ot" for k in (1, 2))).first()
+    made.set_pair_totals(r["rows"] or 0, [both(r, 1), both(r, 2)])
+    zero = F.lit(0).cast("long")
+    entry = lambda w, n=zero, after=zero, left=zero: [c.alias(k) for k, c in zip(("w", "n", "after", "left"), (w, n, after, left))]
+    words = found.where((b == WORD) & (toxic >= LEAST)).select(entry(a, n=n)).unionByName(found.where((b == AFTER) & (toxic > 0)).select(entry(a, after=n))).unionByName(pairs.select(entry(b, left=F.col("left"))))
+    words = words.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "after", "left"))).where("n > 0").toArrow()
+    words = words.take(pa.array(np.argsort(column(words, "w").view(np.uint64))))
+    made.vocabulary, made.words = column(words, "w").view(np.uint64), _classes(column(words, "n"))
+    made.left, made.after = column(words, "left"), _classes(column(words, "after"))
+    told = pairs.where("a is not null").select("a", "b", "n").toArrow()
+    made.pairs = column(told, "a").view(np.uint64), column(told, "b").view(np.uint64), column(told, "n")
+    return Model(made).small()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Counts all rows with a label where train holds, and fits the scale on those where hold does (conditions on __id).
+    """Counts all texts with a label where train holds, and fits the scale on rows where hold does (conditions on __id).
 
-    Labels other than 0 and 1 are left out, and so are ids with both; rows of docs with a repeated id count each.
+    Of equal texts with equal labels the one of the smallest id counts: copies say nothing new of how often words are met.
+    Labels other than 0 and 1 are left out, and so are ids with both; rows of docs that repeat an id with other texts count each.
     """
     ship(docs.sparkSession)
     labels = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).where("__toxic in (0, 1)")
     labels = labels.groupBy("__id").agg(F.min("__toxic").alias("__toxic"), F.max("__toxic").alias("__most")).where("__toxic = __most").drop("__most")
     docs = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     # Labels grow with the documents, so they are not broadcast even where they would fit.
-    model = _gather(docs.where(train).join(labels.where(train).hint("merge"), "__id").select("__text", "__toxic"))
+    hashed = docs.where(train).select("__id", F.xxhash64("__text").alias("__h")).join(labels.where(train).hint("merge"), "__id")
+    first = cut(hashed.groupBy("__h", "__toxic").agg(F.min("__id").alias("__id")))
+    rows = docs.where(train).withColumn("__h", F.xxhash64("__text")).join(first.hint("merge"), ["__id", "__h"]).select("__text", "__toxic")
+    model = _gather(rows)
     # At most PICK_ROWS rows set the two numbers of the scale.
     held = labels.where(hold).orderBy(F.xxhash64("__id"), "__id").limit(PICK_ROWS)
     ratios = ToxicityModel(model, None).scored(docs.where(hold).join(F.broadcast(held), "__id"), "__text", ("__toxic",)).toPandas()
@@ -405,7 +377,11 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows scored at or above ``at``; the columns stay as they are."""
+    """docs without the rows scored at or above ``at``; the columns stay as they are.
+
+    Null texts and those without words have the score of no evidence; rows that repeat are judged alike, null ids like any
+    other. Without labels of both kinds nothing goes but what speaks clearly for toxicity; no rows give no rows.
+    """
     remainder = fold(F.col("__id"))
     fitted = fit(docs, labels, remainder.isin(1, 2, 3), remainder == 4, id_col, text_col)
     scored = fitted.scored(docs, text_col, tuple(docs.columns))

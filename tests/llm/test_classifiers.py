@@ -87,36 +87,93 @@ def test_queries_on_held_out_rows(spark, sf_dir):
         assert auc(*zip(*out)) >= least, (label, auc(*zip(*out)))
 
 
-def test_kneser_ney_probabilities_add_up():
-    import pyarrow as pa
-
-    texts = ["you fool you", "a fine day", "a fine walk a day", "fool of a day"]
-    toxic = np.array([1, 0, 0, 1])
-    counts = Counts(np.sort(np.array([], np.uint64)))
-    for hashes, stems, bounds, _ in word_hashes(pa.array(texts)):
-        counts.add(hashes, stems, bounds, toxic)
-    assert counts.words.sum(axis=1).tolist() == [7, 6]  # a word counts once for each text
-    model = Model(counts)
-    shared = np.where(model.word.sum(axis=0) > 0, 1, 0)
-    assert shared.sum() <= 7 and (model.rest > 0).all() and (model.rest <= 1).all()
-    ratio = lambda t: model.ratio(*next(iter(word_hashes(pa.array([t]))))[:3])[0]
-    assert ratio("fool you") >= ratio("fine day") >= 0 and ratio("") == 0
+class SlowModel:
+    """The two models by dictionaries of strings, one probability at a time."""
+
+    def __init__(self, texts, toxic):
+        self.words, self.pairs = [{}, {}], [{}, {}]
+        for t, y in zip(texts, toxic):
+            w = "".join(c.lower() if c.isascii() and c.isalpha() else " " for c in t).split()
+            for x in set(w):
+                self.words[y][x] = self.words[y].get(x, 0) + 1
+            for x in set(zip(w, w[1:])):
+                self.pairs[y][x] = self.pairs[y].get(x, 0) + 1
+        met = lambda d, k: sum(n == k for n in d.values())
+        off = lambda d: met(d, 1) / (met(d, 1) + 2 * met(d, 2)) if met(d, 1) else 0.5
+        self.off, self.pair_off = [off(d) for d in self.words], [off(d) for d in self.pairs]
+        self.all_pairs, self.all_words = set(self.pairs[0]) | set(self.pairs[1]), set(self.words[0]) | set(self.words[1])
+        self.own = {w for w, n in self.words[1].items() if n >= toxicity.LEAST}
+        self.own_pairs = {p for p, n in self.pairs[1].items() if n >= toxicity.LEAST_PAIR}
+
+    def shared(self, w):
+        return (sum(b == w for _, b in self.all_pairs) + toxicity.NEW) / (len(self.all_pairs) + toxicity.NEW * (len(self.all_words) + 1))
+
+    def word(self, y, w):
+        """None: all other words together."""
+        if w is None:
+            return 1 - sum(self.word(y, x) for x in self.own)
+        size = sum(self.words[y].values())
+        return max(self.words[y].get(w, 0) - self.off[y], 0) / size + self.off[y] * len(self.words[y]) / size * self.shared(w)
+
+    def after(self, y, u, w):
+        size = sum(n for (a, _), n in self.pairs[y].items() if a == u) + toxicity.PRIOR
+        part = lambda p: max(self.pairs[y].get(p, 0) - self.pair_off[y], 0) / size if p in self.own_pairs else 0
+        return part((u, w)) + (1 - sum(part(p) for p in self.own_pairs if p[0] == u)) * self.word(y, w if w in self.own else None)
+
+    def ratio(self, text):
+        w = text.split()
+        p = [[self.word(y, w[0] if w[0] in self.own else None), *(self.after(y, a, b) for a, b in zip(w, w[1:]))] for y in (0, 1)]
+        return sum(np.log(1 - toxicity.MIX + toxicity.MIX * t / o) for o, t in zip(*p)) / len(w)
+
+
+def expressions(n=160, seed=2):
+    rng = random.Random(seed)
+    texts, toxic = [], []
+    for i in range(n):
+        w = [rng.choice("ab cd ef gh ij kl mn op qr st".split()) + rng.choice(["", "x", "y", "zz"]) for _ in range(rng.randrange(3, 12))]
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["fool", "you fool", "ab cd"])
+        texts.append(" ".join(w))
+        toxic.append(int(i % 3 == 0))
+    return texts, toxic
+
+
+def test_ratios_equal_a_slow_model():
+    texts, toxic = expressions()
+    counts = Counts()
+    for hashes, bounds, _ in word_hashes(pa.array(texts)):
+        counts.add(hashes, bounds, np.array(toxic))
+    model, slow = Model(counts), SlowModel(texts, toxic)
+    assert slow.own and slow.own_pairs and len(model.pair_keys) == len(slow.own_pairs)
+    for t in [*texts[:40], "never seen words", "fool", "you fool you"]:
+        hashes, bounds, _ = next(iter(word_hashes(pa.array([t]))))
+        assert model.ratio(hashes, bounds)[0] == pytest.approx(slow.ratio(t), abs=1e-9)
+    # Both models are distributions over the words with a share of their own and all others.
+    for y in (0, 1):
+        for u in ("you", "ab", "qr"):
+            assert sum(slow.after(y, u, w) for w in slow.own) + slow.after(y, u, None) == pytest.approx(1)
+        assert model.p[y].sum() + model.others[y] == pytest.approx(1)
+    # Ratios have both signs: words of ordinary texts speak against toxicity.
+    values = [slow.ratio(t) for t in texts]
+    assert min(values) < 0 < max(values)
+    assert model.ratio(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [model.none]
 
 
 def test_counts_do_not_saturate(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     texts = [f"{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 676]}q the" for i in range(1500)] + ["scumbag the"] * 9
-    rows = spark.createDataFrame([(t, int(t[0] == "s")) for t in texts], "t string, y int").selectExpr("cast(t as binary) t", "y")
+    toxic = np.array([int(t[0] == "s") for t in texts])
+    rows = spark.createDataFrame([(t, int(y)) for t, y in zip(texts, toxic)], "t string, y int").selectExpr("cast(t as binary) t", "y")
     got = toxicity._gather(rows.repartition(4))
     counts = Counts()
-    for hashes, stems, bounds, first in word_hashes(pa.array(texts)):
-        counts.add(hashes, stems, bounds, np.array([int(t[0] == "s") for t in texts])[first : first + len(bounds) - 1])
+    for hashes, bounds, first in word_hashes(pa.array(texts)):
+        counts.add(hashes, bounds, toxic[first : first + len(bounds) - 1])
     summary = counts.summary()
     the = next(iter(word_hashes(pa.array(["the"]))))[0][0]
     assert summary.left[summary.vocabulary == the].tolist() == [1501]  # distinct words before it, none capped
     want = Model(counts)
-    for hashes, stems, bounds, _ in word_hashes(pa.array(texts)):
-        assert np.allclose(got.ratio(hashes, stems, bounds), want.ratio(hashes, stems, bounds), atol=1e-5) and len(bounds) == len(texts) + 1
+    for hashes, bounds, _ in word_hashes(pa.array(texts)):
+        assert np.allclose(got.ratio(hashes, bounds), want.ratio(hashes, bounds), atol=1e-5) and len(bounds) == len(texts) + 1
 
 
 def test_expression_of_ordinary_words(spark):
