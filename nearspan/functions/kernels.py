@@ -208,7 +208,7 @@ def substitution_matrix(name, alphabet, grid, gap_score=-4, wildcard=None, gap_o
 
 
 def double_metaphone(s, max_length=64, variant=0):
-    return dict(zip(("primary", "alternate"), phonetic.double_metaphone(s, max_length)))
+    return dict(zip(("primary", "alternate"), phonetic.double_metaphone(s, max_length, variant)))
 
 
 def beider(directory: str | None):
