@@ -31,12 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Checkpoints go with the last reference to them.
+_UNUSED = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir, which all executors share, and reads it from there."""
+    """Writes df to the folder of spark.checkpoint.dir, which all executors share, and reads it from there.
+
+    Its files go when nothing refers to the frame any more. Without that setting only a session on one machine may use a
+    folder of its own.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearspan-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nearspan-"))
+    conf = sc._jsc.sc().conf()
+    if not conf.contains(_UNUSED):
+        conf.set(_UNUSED, "true")
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from nearspan.llm.common import cut
 
 
-def _state(df: DataFrame) -> tuple[int, int]:
-    n, total = df.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1000003).cast("long"))).first()
-    return n, total or 0
+def _state(df: DataFrame) -> tuple:
+    """Number of links, and sum and exclusive or of their whole 64-bit hashes."""
+    h = F.xxhash64("u", "v")
+    return tuple(df.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

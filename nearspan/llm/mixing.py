@@ -2,8 +2,9 @@
 
 Every document draws an exponential key scaled by its quality weight. Within a source the keys are sorted
 and the sizes prefix-summed up to the source's budget: complete epochs first, then the documents with the
-smallest keys. The prefix sums never sort a whole source: sizes are summed by intervals of the key, and
-only the interval in which a budget ends is sorted, so a source's choice is one row, its last key.
+smallest keys. The prefix sums never sort a whole source: sizes are summed by intervals of the key's logarithm, which
+are narrow beside keys of any size and so of any weight, and only the interval in which a budget ends is sorted: a
+source's choice is one row, its last key.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from nearspan.llm.common import WORD, cut, table
 
-#: Intervals of the key within a source.
-INTERVALS = 4096
+#: Intervals of the key within a source, for each doubling; weights that keys are drawn with, at least and at most.
+INTERVALS, LEAST, MOST = 1024, 1e-9, 1e9
 #: Sources whose rows of the plan (some numbers and a name each) are broadcast at most.
 FEW_SOURCES = 4096
 #: Characters that prose has few of; their share lowers a document's weight.
@@ -27,7 +28,11 @@ def text_quality(text: Column) -> Column:
 
 
 def sample_key(id_: Column, quality: Column, seed: str = "mix") -> Column:
-    """-ln(u) / quality, u in (0, 1) from the md5 of the id and the seed: small keys are taken first."""
+    """-ln(u) / quality, u in (0, 1) from the md5 of the id and the seed: small keys are taken first.
+
+    Null, NaN and values below LEAST count as LEAST, values above MOST as MOST.
+    """
+    quality = F.least(F.greatest(F.coalesce(F.nanvl(quality.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST)), F.lit(MOST))
     digest = F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
     return -F.log(u) / quality
@@ -68,7 +73,7 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     sources = sources.select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
-    part = F.least(F.floor((1 - F.exp(-F.col("key"))) * INTERVALS), F.lit(INTERVALS - 1)).cast("int")
+    part = F.floor(F.log2("key") * INTERVALS).cast("int")
     rows = rows.withColumn("part", part)
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("sum"), F.max(F.struct("key", "id")).alias("last"))
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,7 +124,11 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: str = "mix", **how) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; the choice is a row per source, so texts are not sorted."""
+    """docs with each row repeated as often as the mix takes it; the choice is a row per source, so texts are not sorted.
+
+    Rows of null and empty texts have size 0 and may be there as often as any of their source. Null sources are one
+    source, the last; null ids draw one key. No rows give no rows.
+    """
     plan = mix_plan(cut(sized(docs, id_col, text_col, source_col, quality, seed)), **how)
     weight = text_quality(F.col(text_col)) if quality is None else quality
     keyed = docs.select("*", sample_key(F.col(id_col), weight, seed).alias("__mix_key"), F.col(source_col).cast("string").alias("__mix_of"))

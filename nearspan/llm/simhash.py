@@ -199,15 +199,17 @@ def link_fingerprints(fps: DataFrame, max_diff: int = 3) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its fingerprint and near-duplicate group.
 
-    Returns (doc_id, fingerprint, component_id). Rows with a null id link like any other; a group's id is the
-    smallest id that is not null. Repeated ids are kept as rows. An empty table gives no rows.
+    Returns (doc_id, fingerprint, component_id). Rows with a null id link like any other, also where they alone join two
+    groups; a group's id is the smallest id that is not null, and null where all its ids are. Repeated ids are kept as
+    rows. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    # Copies are one leaf: links are looked for between distinct fingerprints alone.
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    named = cut(distinct.where("id is not null"))
-    found = components(link_fingerprints(named))
-    named = named.join(found, named["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # Copies are one leaf: links are looked for between distinct fingerprints alone, which are their own nodes.
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
+    found = components(link_fingerprints(distinct.select(F.col("fp").alias("id"), "fp")))
+    grouped = cut(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    least = grouped.groupBy(F.col("root").alias("of")).agg(F.min("id").alias("component_id"))
+    named = grouped.join(least, F.col("root") == F.col("of")).select("fp", "component_id")
     return fps.join(named, "fp", "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

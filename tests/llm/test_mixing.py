@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from nearspan.llm import mixing
 from nearspan.llm.mixing import OP4_SQL, mix, mix_sizes, op4_mixing
@@ -79,3 +80,20 @@ def test_empty_table_and_sql(spark, sf_dir, oracle):
     assert mix_sizes(frame(spark, [])).collect() == [] and mix(frame(spark, [])).collect() == []
     near = lambda rows: [{k: round(v, 6) if isinstance(v, float) else v for k, v in r.items()} for r in rows]
     assert near(rows_of(op4_mixing(spark, sf_dir))) == near(oracle(OP4_SQL))
+
+
+def test_given_weights_of_any_kind(spark):
+    odd = [None, 0.0, -1.0, float("nan"), float("inf"), 1e-300, 0.5, 1.0]
+    rows = [(i, "four words are here", "a", 1, odd[i % 8], 1) for i in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sizes(df, quality=F.col("key"), share=0.5).collect()
+    assert len(got) == 800 and abs(sum(r.taken for r in got) - 1600) <= 4
+    taken = {k: sum(r.taken for r in got if r.doc_id % 8 == k) for k in range(8)}
+    assert taken[4] == taken[7] == taken[6] == 400 and max(taken[k] for k in (0, 1, 2, 3, 5)) < 400
+
+
+def test_low_weights_spread_over_intervals(spark):
+    df = spark.createDataFrame([(i, "w", "a", 1, 0.05, 1) for i in range(4000)], SCHEMA)
+    keyed = mixing.sized(df, "doc_id", "text", "source", F.col("key"), "mix")
+    part = F.floor(F.log2("key") * mixing.INTERVALS)
+    assert keyed.groupBy(part).count().agg(F.max("count")).first()[0] < 40

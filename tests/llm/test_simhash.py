@@ -96,3 +96,12 @@ def test_query_equals_all_pairs(spark, sf_dir):
         by_root[r].append(i)
     want = {i: (f"{f:016x}", min(by_root[r])) for i, f, r in zip(ids, fps, groups_of(fps))}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == want
+
+
+def test_rows_without_an_id_join_groups(spark, monkeypatch):
+    fps = {"a": 0, "b": 0b111, "c": 0b111111, "far": 1 << 40 | 0xFFFFF, "farther": 0xFFFFFFFFFFFF}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id AS id", "element_at(m, text) AS fp"))
+    rows = [(7, "a"), (None, "b"), (5, "c"), (None, "c"), (9, "far"), (None, "farther")]
+    docs = spark.createDataFrame([(i, t, fps) for i, t in rows], "doc_id long, text string, m map<string, long>")
+    got = simhash_groups(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (0, 5), (5, 5), (7, 5), (9, 9)]
