@@ -62,7 +62,7 @@ def catalogue(matrix_dir: str | None = None, rules_dir: str | None = None) -> di
     }
     text2 = "a STRING, b STRING"
     lev = "CAST(levenshtein(a, b) AS BIGINT)"
-    distance = Sql(f"{text2}, cutoff BIGINT DEFAULT {_FAR}", "BIGINT", f"least({lev}, cutoff + 1) + 0 * length(a) * length(b)")
+    distance = Sql(f"{text2}, cutoff BIGINT DEFAULT {_FAR}", "BIGINT", f"CASE WHEN cutoff >= greatest(length(a), length(b)) THEN {lev} WHEN levenshtein(a, b, CAST(greatest(cutoff, -1L) AS INT)) < 0 THEN cutoff + 1 ELSE levenshtein(a, b, CAST(cutoff AS INT)) END + 0 * length(a) * length(b)")
     share = "CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN greatest(length(a), length(b)) = 0 THEN 1.0D ELSE 1.0D - levenshtein(a, b) / greatest(length(a), length(b)) END"
     ratio = Sql(f"{text2}, cutoff DOUBLE DEFAULT 0.0D", "DOUBLE", f"CASE WHEN ({share}) < cutoff THEN 0.0D ELSE {share} END")
     out |= dict.fromkeys(("levenshtein", "levenshtein_score"), distance) | dict.fromkeys(("levenshtein_similarity", "levenshtein_normalized_score"), ratio)

@@ -30,7 +30,9 @@ def _sides(queries: DataFrame, targets: DataFrame, query: str, target: str, quer
 
 
 def _distinct(q: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return q.select("query").distinct(), t.select("target").distinct()
+    """Distinct strings of both sides. Few bytes of queries may meet many targets, so they are dealt to all cores whatever their size."""
+    cores = max(q.sparkSession.sparkContext.defaultParallelism, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return q.select("query").distinct().repartition(cores, "query"), t.select("target").distinct()
 
 
 def _rows(scored: DataFrame, q: DataFrame, t: DataFrame) -> DataFrame:
@@ -77,6 +79,13 @@ def cdist_array(queries: DataFrame, targets: DataFrame, by, **names_and_options)
 
 def _above(a: DataFrame, b: DataFrame, found: Scorer, t: float, options: Options) -> DataFrame:
     near = candidates(a, b, found, t, options)
+    if found.name == "levenshtein_normalized" and 0 < t <= 1:
+        # No more than these edits reach t; the distance is given up beyond them.
+        most = F.greatest(F.length("query"), F.length("target"))
+        edits = F.floor((1.0 - F.lit(t)) * most + 1e-6).cast("int")
+        near = near.withColumn("d", F.call_function("levenshtein", "query", "target", edits)).where("d >= 0")
+        score = F.when(most == 0, 1.0).otherwise(1.0 - F.col("d") / most)
+        return near.select("query", "target", score.alias("score")).where(F.col("score") >= t)
     return near.withColumn("score", score_column(found, options)).where(F.col("score") >= t)
 
 

@@ -1,8 +1,10 @@
 """Candidate pairs of strings for a similarity of at least t, as equi-joins.
 
-By segments: d edits leave one of d + 1 segments of a string as it is, at most d places away, so two strings that are
-near share a segment. By lengths: the lengths of two strings bound their similarity, so each length meets those that it
-can be similar to. Both are complete: no pair that reaches t is missed.
+By segments: d edits leave one of d + 1 segments of a string as it is, so two strings that are near share a segment. It
+is looked for only where it can lie if, of the segments before it, each took an edit, and so each after it; some segment
+that is shared lies so. By lengths: the lengths of two strings bound their similarity, so each length meets those that it
+can be similar to. Both are complete: no pair that reaches t is missed. Where many strings share their segments, more
+pairs would meet by these than by their lengths; the counts of both are compared first.
 """
 
 from __future__ import annotations
@@ -75,7 +77,9 @@ def _query_keys(s: Column, scorer: Scorer, t: float) -> Column:
         size, start = _segments(n, k)
 
         def of_segment(i: Column) -> Column:
-            at = _range(F.greatest(F.lit(1), start(i) - d), F.least(m - size(i) + 1, start(i) + d))
+            shift = m - n
+            low_at = F.greatest(F.lit(1), start(i) - i, start(i) + shift - (d - i))
+            at = _range(low_at, F.least(m - size(i) + 1, start(i) + i, start(i) + shift + (d - i)))
             return F.transform(at, lambda p: _key(n, i, F.substr(s, p, size(i))))
 
         keys = F.flatten(F.transform(_range(F.lit(0), k - 1), of_segment))
@@ -84,6 +88,19 @@ def _query_keys(s: Column, scorer: Scorer, t: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(_range(low, high), of_length)))
 
 
+def _meetings(a: DataFrame, b: DataFrame) -> float:
+    """Rows of the join of keys, which counts of each key tell."""
+    x, y = a.groupBy("key").agg(F.count("*").alias("x")), b.groupBy("key").agg(F.count("*").alias("y"))
+    return x.join(y, "key").agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0.0
+
+
+def _pairs_of_lengths(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float, options: Options) -> float:
+    """Pairs whose lengths alone let them reach t."""
+    a, b = queries.groupBy(F.length("query").alias("m")).agg(F.count("*").alias("x")), targets.groupBy(F.length("target").alias("n")).agg(F.count("*").alias("y"))
+    both = a.crossJoin(b).where(scorer.length_bound(F.col("m"), F.col("n"), options) >= t - _SLACK)
+    return both.agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0.0
+
+
 def candidates(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float, options: Options = Options()) -> DataFrame:
     """Distinct (query) and (target) strings -> distinct (query, target) pairs that include all that reach t."""
     if t <= 0:
@@ -91,9 +108,10 @@ def candidates(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float,
     if by_segments(scorer, t):
         a = queries.select("query", F.explode(_query_keys(F.col("query"), scorer, t)).alias("key"))
         b = targets.select("target", F.explode(_target_keys(F.col("target"), scorer, t)).alias("key"))
-        pairs = a.join(b, "key").select("query", "target")
-        bound = scorer.length_bound(F.length("query"), F.length("target"), options)
-        return pairs.where(bound >= t - _SLACK).distinct()
+        if _meetings(a, b) <= _pairs_of_lengths(queries, targets, scorer, t, options):
+            pairs = a.join(b, "key").select("query", "target")
+            bound = scorer.length_bound(F.length("query"), F.length("target"), options)
+            return pairs.where(bound >= t - _SLACK).distinct()
     bound = scorer.length_bound(F.col("m"), F.col("n"), options)
     if bound is None:
         return queries.crossJoin(targets)
