@@ -21,10 +21,10 @@ from nearspan.llm.components import components
 from nearspan.llm.simhash import _union
 from nearspan.llm.vectors import column_matrix, matrix, unit, valid
 
-#: Vectors of a block and of the shortest sequence that is halved no more; leading axes; vectors that set the axes.
-BLOCK, LEAF, LEAD, AXES_ROWS = 4096, 512, 16, 4096
-#: Grid columns by which the sequence is ordered.
-GRID = 4
+#: Different vectors of a block, and rows of one at most (copies included); the shortest sequence that is halved no more; leading axes; vectors that set the axes.
+BLOCK, ROWS, LEAF, LEAD, AXES_ROWS = 1 << 15, 1 << 18, 512, 16, 4096
+#: Grid columns by which the sequence is ordered, and those by which boxes of blocks meet; pairs of blocks that may be broadcast.
+GRID, SLABS, FEW_PAIRS = 4, 2, 1 << 17
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -77,13 +77,18 @@ def join_sequences(a: Sequence, b: Sequence, same: bool, least: float) -> Iterat
             yield i0 + i[linked], j0 + j[linked]
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, root, n) rows: n links that id has in one pair of blocks, and a vector that it is linked with, directly or not."""
-    spark = vectors.sparkSession
-    found, dims, kind = valid(vectors, id_col, vector_col)
-    if not dims:
-        return spark.createDataFrame([], "id long, root long, n long")
-    eps = float(np.sqrt(2 - 2 * least))
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    return np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)]) if len(x) else np.zeros(0, np.int64)
+
+
+def embedding_blocks(found: DataFrame, dims: int, kind: str, eps: float) -> tuple[DataFrame, np.ndarray]:
+    """Blocks of the grid-ordered sequence (block, low, high, ids, of, data), and the axes of the grid.
+
+    data: the different vectors of the block; ids: of all its rows; of: which vector each row has. Equal vectors are
+    neighbours in the order, so they are one vector of a block, or of a few blocks where they are very many.
+    """
+    spark = found.sparkSession
     sample = found.orderBy(F.xxhash64("id"), "id").limit(AXES_ROWS).select("v").toArrow()["v"].combine_chunks()
     axes = spark.sparkContext.broadcast(principal_axes(unit(column_matrix(sample, dims, kind))))  # dims * dims numbers
     cells = [f"c{k}" for k in range(min(GRID, dims))]
@@ -96,8 +101,9 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(g) for g in grid.T)], ["id", "v", *cells])
 
     element = "double" if kind == "<f8" else "float"
-    placed = found.mapInArrow(place, f"id long, v array<{element}>, {', '.join(f'{c} int' for c in cells)}")
-    ordered = placed.repartitionByRange(*cells, "id").sortWithinPartitions(*cells, "id")
+    placed = found.mapInArrow(place, f"id long, v array<{element}>, {', '.join(f'{c} int' for c in cells)}").withColumn("h", F.xxhash64("v"))
+    parts = max(1, -(-found.count() // BLOCK))
+    ordered = placed.repartitionByRange(parts, *cells, "h", "id").sortWithinPartitions(*cells, "h", "id").select("id", "v")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,59 +111,95 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         nth, ids, rows, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def block(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            first = _runs(x)
+            of, x = np.repeat(np.arange(len(first), dtype="<i4"), np.diff(np.r_[first, len(x)])), x[first]
             turned = unit(x) @ axes.value[:, :LEAD]
             return pa.RecordBatch.from_pydict(
-                {"block": [nth], "low": [turned.min(axis=0).tolist()], "high": [turned.max(axis=0).tolist()], "ids": [i.astype("<i8").tobytes()], "data": [x.tobytes()]},
-                pa.schema([("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("data", pa.binary())]),
+                {"block": [nth], "low": [turned.min(axis=0).tolist()], "high": [turned.max(axis=0).tolist()], "ids": [i.astype("<i8").tobytes()], "of": [of.tobytes()], "data": [x.tobytes()]},
+                pa.schema([("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("of", pa.binary()), ("data", pa.binary())]),
             )
 
         for batch in batches:
             ids.append(batch.column(0).to_numpy())
             rows.append(column_matrix(batch.column(1), dims, kind))
             held += len(ids[-1])
-            while held >= BLOCK:
+            while held >= 2 * BLOCK:
                 i, x = np.concatenate(ids), np.concatenate(rows)
-                yield block(i[:BLOCK], x[:BLOCK])
-                ids, rows, held, nth = [i[BLOCK:]], [x[BLOCK:]], held - BLOCK, nth + 1
-        if held:
-            yield block(np.concatenate(ids), np.concatenate(rows))
+                first = _runs(x)
+                # A block ends where its last vector's run does, unless that is too long.
+                end = int(min(first[BLOCK] if len(first) > BLOCK else held, ROWS))
+                if end == held and held < ROWS:
+                    break
+                yield block(i[:end], x[:end])
+                ids, rows, held, nth = [i[end:]], [x[end:]], held - end, nth + 1
+        while held:
+            i, x = np.concatenate(ids), np.concatenate(rows)
+            first = _runs(x)
+            end = int(min(first[BLOCK] if len(first) > BLOCK else held, ROWS))
+            yield block(i[:end], x[:end])
+            ids, rows, held, nth = [i[end:]], [x[end:]], held - end, nth + 1
+
+    return cut(ordered.mapInArrow(blocks, "block long, low array<double>, high array<double>, ids binary, of binary, data binary")), axes
 
-    made = cut(ordered.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(blocks, "block long, low array<double>, high array<double>, ids binary, data binary"))
+
+def embedding_links(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, root, n) rows: n links that id has in one pair of blocks, and a vector that it is linked with, directly or not."""
+    spark = vectors.sparkSession
+    found, dims, kind = valid(vectors, id_col, vector_col)
+    if not dims:
+        return spark.createDataFrame([], "id long, root long, n long")
+    eps = float(np.sqrt(2 - 2 * least))
+    made, axes = embedding_blocks(found, dims, kind, eps)
     boxes = made.select("block", "low", "high")
-    slab = lambda name: F.floor(F.col(name)[0] / eps).cast("int")
-    left = boxes.select(F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(slab("low") - 1, slab("high") + 1)).alias("slab"))
-    right = boxes.select(F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(slab("low"), slab("high"))).alias("slab"))
+    slab = lambda name, k: F.floor(F.coalesce(F.get(name, F.lit(k)), F.lit(0.0)) / eps).cast("int")
+    near = lambda k, more: F.sequence(slab("low", k) - more, slab("high", k) + more)
+    left, right = (boxes.select(F.col("block").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}"), F.col("low"), F.col("high")) for n in "ab")
+    for k in range(SLABS):
+        left, right = left.withColumn(f"s{k}", F.explode(near(k, 1))), right.withColumn(f"s{k}", F.explode(near(k, 0)))
+    keys = [f"s{k}" for k in range(SLABS)]
     apart = F.aggregate(F.sequence(F.lit(1), F.size("low_a")), F.lit(0.0), lambda s, k: s + F.pow(F.greatest(F.lit(0.0), F.element_at("low_b", k) - F.element_at("high_a", k), F.element_at("low_a", k) - F.element_at("high_b", k)), F.lit(2.0)))
-    pairs = left.join(right, "slab").where("a <= b").where(apart <= eps * eps + 1e-9).select("a", "b").distinct()
-    side = lambda n: made.select(F.col("block").alias(n), F.col("ids").alias(f"ids_{n}"), F.col("data").alias(f"data_{n}"))
-    tiles = pairs.join(side("a"), "a").join(side("b"), "b").repartition(F.col("a"), F.col("b"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k] for n in ("a", "b", "ids_a", "data_a", "ids_b", "data_b")}
-                same = row["a"].as_py() == row["b"].as_py()
-                ids = np.frombuffer(row["ids_a"].as_buffer(), "<i8")
-                a = Sequence(matrix(row["data_a"].as_buffer(), dims, kind), axes.value)
-                b = a if same else Sequence(matrix(row["data_b"].as_buffer(), dims, kind), axes.value)
-                shift = 0 if same else len(ids)
-                ids = ids if same else np.concatenate([ids, np.frombuffer(row["ids_b"].as_buffer(), "<i8")])
-                n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                for i, j in join_sequences(a, b, same, least):
-                    j = j + shift
-                    n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
-                    label = _union(label, i, j)
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(n[some])], ["id", "root", "n"])
-
-    return tiles.mapInArrow(join, "id long, root long, n long")
+    pairs = cut(left.drop("low", "high").join(right.drop("low", "high"), keys).where("a <= b").where(apart <= eps * eps + 1e-9).select("a", "b").distinct())
+    # A block goes once to each pair that it is in.
+    sent = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    tiles = made.select("block", "ids", "of", "data").join(F.broadcast(sent) if few else sent, "block")
+
+    def join(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["block"].to_numpy())
+        sides, heads, counts, out = [], [], [], []
+        for k in order.tolist():
+            ids, of = (np.frombuffer(rows[c][k].as_buffer(), t) for c, t in (("ids", "<i8"), ("of", "<i4")))
+            sides.append(Sequence(matrix(rows["data"][k].as_buffer(), dims, kind), axes.value))
+            heads.append(ids[np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]])
+            counts.append(np.bincount(of))
+            if len(order) == 1:  # copies of one vector are linked with each other
+                some = counts[0][of] > 1
+                out.append((ids[some], heads[0][of[some]], counts[0][of[some]] - 1))
+        same = len(order) == 1
+        shift = 0 if same else len(heads[0])
+        head, count = np.concatenate(heads), np.concatenate(counts)
+        n, label = np.zeros(len(head), np.int64), np.arange(len(head))
+        for i, j in join_sequences(sides[0], sides[-1], same, least):
+            j = j + shift
+            n += (np.bincount(i, count[j], len(n)) + np.bincount(j, count[i], len(n))).astype(np.int64)
+            label = _union(label, i, j)
+        # What a vector is linked with, each of its rows is.
+        at = 0
+        for k, heads_ in zip(order.tolist(), heads):
+            ids, of = (np.frombuffer(rows[c][k].as_buffer(), t) for c, t in (("ids", "<i8"), ("of", "<i4")))
+            some = n[at + of] > 0
+            out.append((ids[some], head[label[at + of[some]]], n[at + of[some]]))
+            at += len(heads_)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "root", "n"])
+
+    return tiles.groupBy("a", "b").applyInArrow(join, "id long, root long, n long")
 
 
 def embedding_groups(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Every row's (vec_id, n_links, component_id, kept).
 
-    Vectors that take no part (see vectors.valid) have no links and are their own component. Rows of equal ids
-    count as one vector whose links are added up. No rows give no rows.
+    Vectors that take no part (see vectors.valid) have no links and are their own component; rows with a null id have
+    neither links nor a component. Rows of equal ids count as one vector whose links are added up. No rows give no rows.
     """
     links = cut(embedding_links(vectors, least, id_col, vector_col))
     counts = links.groupBy(F.col("id").alias("i")).agg(F.sum("n").alias("n"))

@@ -54,6 +54,22 @@ def test_groups_of_equal_vectors(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
 
 
+def test_copies_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "BLOCK", 8)
+    monkeypatch.setattr(embedding_join, "ROWS", 16)
+    rng = np.random.default_rng(3)
+    others = rng.normal(size=(40, 8))
+    near = [1.0, 0.02] + [0.0] * 6
+    vectors = [*others.tolist(), *[[1.0] + [0.0] * 7] * 70, *[near] * 5, *[others[0].tolist()] * 2]
+    rows = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(frame(spark, vectors)).collect()}
+    x = unit(vectors)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert {i: n for i, (n, _) in rows.items()} == dict(enumerate(linked.sum(axis=1)))
+    assert {rows[i][1] for i in range(40, 115)} == {min(40, *np.flatnonzero(linked[40]), *np.flatnonzero(linked[112]))} and rows[115][1] == 0
+    assert [(r.vec_id, r.n_links, r.component_id) for r in embedding_groups(frame(spark, [[1.0, 2.0]] * 2, [None, 3])).collect() if r.vec_id is None] == [(None, 0, None)]
+
+
 def test_query_equals_sql(spark, sf_dir, oracle):
     assert rows_of(op1_embedding_dedup(spark, sf_dir)) == oracle(OP1_SQL)
 
