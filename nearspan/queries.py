@@ -391,8 +391,8 @@ sql_query(
 )
 
 
-@query("jn11_metaphone_join")
-def jn11_metaphone_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("jn11_daitch_mokotoff_join")
+def jn11_daitch_mokotoff_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = names(spark, sf_dir)
     return joins.phonetic_join(n, n, single(phonetic.daitch_mokotoff, "string"), **_HOW).select("code", "query_index", "target_index")
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from nearspan.queries import ORACLES, QUERIES
+from nearspan.cases import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
