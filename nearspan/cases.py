@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearspan.facades import distance, fuzz, process
-from nearspan.functions import matrices
-from nearspan.functions.scorers import scorer
+from nearspan.functions import phonetic
+from nearspan.functions.arrow import single
 from nearspan.functions.sql import register
 from nearspan.operators import joins
-from nearspan.queries import _ALIGN, _COUNT, _GRID, _HOW, _INDEL, _LOCAL, _NATIONS, _SAME, _ZEROS, ORACLES, QUERIES, _share, _winkler, _with_array, dp, nations, pair_query, query, read
+from nearspan.queries import _ALIGN, _COUNT, _GRID, _HOW, _INDEL, _LOCAL, _NATIONS, _SAME, _ZEROS, ORACLES, QUERIES, _share, _winkler, _with_array, dp, nations, pair_query, query
 
 
 def literal(v) -> str:
@@ -36,8 +37,6 @@ def case_query(name: str, schema: str, inputs: Sequence[tuple], wanted: Sequence
     """columns: SQL expressions over the inputs (schema), {} for the prefix; wanted: their published values."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
-
         register(spark, only=set(re.findall(r"\{\}(\w+)", " ".join(columns.values()))))
         rows = spark.createDataFrame([(k, *r) for k, r in enumerate(inputs)], f"nr long, {schema}")
         return rows.select("nr", *(F.expr(e.replace("{}", "ns_")).alias(c) for c, e in columns.items()))
@@ -240,3 +239,122 @@ _PART_SETS = (("foo bar", "foo bar baz", 1.0), ("apple", "an apple a day", 1.0),
 case_query("tx11_partial_token_set_ratio", "a string, b string", [r[:2] for r in _PART_SETS], _PART_SETS, {"a": "a", "b": "b", "score": "{}partial_token_set_ratio(a, b)"})
 _WRATIO = (("kitten", "kitten", 1.0), ("the quick brown fox", "the quick brown fox", 1.0), ("", "", 1.0), ("abc", "", 0.0), ("", "abc", 0.0))
 case_query("tx12_wratio_cases", "a string, b string", [r[:2] for r in _WRATIO], _WRATIO, {"a": "a", "b": "b", "score": "{}wratio(a, b)"})
+
+# Alignment paths, matrices, series, n-grams
+
+_PATHS = (("ACGT", "ACCT", 5, "2=1X1=", 3, 1, 0, 0, "ACGT", "ACCT", "2=1X1="), ("ACCGT", "CCG", 4, "1D3=1D", 3, 0, 0, 2, "ACCGT", "-CCG-", "3="), ("same", "same", 8, "4=", 4, 0, 0, 0, "same", "same", "4="))
+case_query(
+    "al8_path_cases", "a string, b string", [r[:2] for r in _PATHS], _PATHS,
+    {"a": "a", "b": "b", "score": "{}needleman_wunsch_path(a, b).score", "cigar": "{}needleman_wunsch_cigar(a, b)", **{n: f"{{}}needleman_wunsch_path(a, b).{n}" for n in ("matches", "mismatches", "insertions", "deletions", "aligned_query", "aligned_target")},
+     "local_cigar": "{}smith_waterman_trace_cigar(a, b)"},
+)
+_DNA = "{}identity_matrix('ACGT', 3, -2, '*')"
+case_query(
+    "mx3_matrix_cases", "a string, b string", [("ACGT", "ACCT"), ("ACCGT", "CCG"), ("AC", "AC")], [("ACGT", "ACCT", 7, "2=1X1=", 7), ("ACCGT", "CCG", 7, "1D3=1D", 9), ("AC", "AC", 6, "2=", 6)],
+    {"a": "a", "b": "b", "score": f"{{}}needleman_wunsch_matrix_path(a, b, {_DNA}).score", "cigar": f"{{}}needleman_wunsch_matrix_cigar(a, b, {_DNA})", "local": f"{{}}smith_waterman_matrix_path(a, b, {_DNA}).score"},
+)
+case_query(
+    "mx13_matrix_functions", "a string, b string", [("A", "A"), ("A", "C"), ("T", "G")], [("A", "A", 3, 3, 3, "0,1,2,3", "ACGT*"), ("A", "C", 0, 0, 3, "0,1,2,3", "ACGT*"), ("T", "G", 0, 0, 3, "0,1,2,3", "ACGT*")],
+    {"a": "a", "b": "b", "score": f"{{}}substitution_matrix_score({_DNA}, a, b)", "transposed": f"{{}}substitution_matrix_score({{}}matrix_transpose({_DNA}), a, b)", "step": f"{{}}matrix_score_step_limit({_DNA})",
+     "code": f"array_join({{}}matrix_encode({_DNA}, 'ACGT'), ',')", "alphabet": f"{{}}matrix_info({_DNA}).alphabet"},
+)
+case_query(
+    "seq2_dtw_distances", "q array<double>, ts array<array<double>>", [([1.0, 2.0, 3.0], [[1.0, 2.0, 3.0], [1.0, 2.0, 2.0, 3.0], [2.0, 2.0, 2.0], [4.0]])], [("0.0,0.0,2.0,14.0",)],
+    {"costs": "array_join(transform({}dtw_distances(q, ts), x -> CAST(x AS STRING)), ',')"},
+)
+_GRAMS = (("night", "nacht", 1 / 7, 0.25, 0.25, 0.25), ("night", "night", 1.0, 1.0, 1.0, 1.0), ("abcd", "wxyz", 0.0, 0.0, 0.0, 0.0))
+case_query(
+    "tx5_ngram_vectors", "a string, b string", [r[:2] for r in _GRAMS], _GRAMS,
+    {"a": "a", "b": "b", "jaccard": "get({}jaccard_similarities(a, array(b)), 0)", "dice": "get({}dice_similarities(a, array(b)), 0)", "overlap": "get({}overlap_similarities(a, array(b)), 0)", "cosine": "round(get({}cosine_similarities(a, array(b)), 0), 12)"},
+)
+_COMMON = (("abcdef", "zabcy", "abc", 3), ("", "a", "", 0), ("hello world", "yellow", "ello", 4))
+case_query("tx3_lcs_substring", "a string, b string", [r[:2] for r in _COMMON], _COMMON, {"a": "a", "b": "b", "part": "{}lcs_substring(a, b)", "length": "{}lcs_substring_length(a, b)"})
+_RATCLIFF = (("WIKIMEDIA", "WIKIMANIA", 14 / 18), ("GESTALT PATTERN MATCHING", "GESTALT PRACTICE", 0.6), ("same", "same", 1.0), ("abc", "xyz", 0.0))
+case_query("tx6_ratcliff_obershelp_cases", "a string, b string", [r[:2] for r in _RATCLIFF], _RATCLIFF, {"a": "a", "b": "b", "score": "{}ratcliff_obershelp_similarity(a, b)"})
+case_query("top6_extract_sql", "q string", [("appel",)], [("appel", "apple:2.0,ape:2.0,maple:3.0")], {"q": "q", "found": "array_join(transform({}extract(q, array('grape juice', 'apple', 'maple', 'ape'), 'levenshtein', 3), x -> concat(x.target, ':', x.score)), ',')"})
+case_query("int4_scorer_names", "q string", [("appel",)], [("appel", "2.0,1.0,2.0")], {"q": "q", "scores": "array_join(concat({}scores(q, array('apple'), 'Levenshtein'), {}scores(q, array('apple'), 'osa'), {}scores(q, array('apple'), 'INDEL')), ',')"})
+
+# Prepared queries, table functions, facades
+
+
+@query("ed13_prepared_levenshtein", f"SELECT k, CAST(levenshtein(s, 'united states') AS BIGINT) AS distance, {_share('levenshtein(s, chr(85) || chr(83))', 'greatest(length(s), 2)')} AS similarity FROM ({_NATIONS})")
+def ed13_prepared_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.functions.prepared import LevenshteinScorer
+
+    s = F.col("s")
+    return nations(spark, sf_dir).select("k", LevenshteinScorer("united states").column(s).alias("distance"), LevenshteinScorer("US").column(s, True).alias("similarity"))
+
+
+@query("al10_prepared_scores", dp(f"SELECT k AS x, 0 AS y, 'ARGENTINA' AS a, s AS b FROM ({_NATIONS})", _ZEROS, "0", f"greatest(0, {_SCORE})", "best AS score", "greatest(best, list_max(r))"))
+def al10_prepared_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.functions.prepared import Scores
+
+    return nations(spark, sf_dir).select(F.col("k").alias("x"), F.lit(0).alias("y"), Scores("ARGENTINA", "farrar").column(F.col("s")).alias("score"))
+
+
+@query("jn9_cdist_rows", f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, jaro_similarity(a, b) AS score FROM ({_GRID})")
+def jn9_cdist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.functions.tables import register_tables
+
+    register_tables(spark)
+    every = nations(spark, sf_dir).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda v: v["s"]).alias("all"))
+    every.createOrReplaceTempView("ns_nation_names")
+    return spark.sql("SELECT query_index AS x, target_index AS y, score FROM ns_nation_names n, LATERAL ns_cdist_rows(n.all, n.all, 'jaro', 7)")
+
+
+@query("str1_streamed_pairs", f"SELECT {_share('levenshtein(a.s, b.s)', 'greatest(length(a.s), length(b.s))')} AS score, a.s AS query, b.s AS target FROM ({_NATIONS}) a, ({_NATIONS}) b WHERE score >= 0.5")
+def str1_streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the iterator gives, row by row."""
+    from nearspan.streaming.joins import iterate
+
+    n = nations(spark, sf_dir)
+    rows = [(r.score, r.query, r.target) for r in iterate(joins.above_threshold(n, n, "levenshtein_normalized", 0.5, **_HOW))]
+    return spark.createDataFrame(rows, "score double, query string, target string")
+
+
+@query("str2_streamed_queries", f"SELECT query, string_agg(target, ',' ORDER BY r) AS targets FROM (SELECT a.s AS query, b.s AS target, row_number() OVER (PARTITION BY a.k ORDER BY jaro_similarity(a.s, b.s) DESC, b.k) AS r FROM ({_NATIONS}) a, ({_NATIONS}) b) WHERE r <= 3 GROUP BY query")
+def str2_streamed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.streaming.joins import iterate_per_query
+
+    n = nations(spark, sf_dir)
+    rows = [(q, ",".join(m["target"] for m in found)) for q, found in iterate_per_query(joins.top_k_per_query(n, n, "jaro", 3, **_HOW))]
+    return spark.createDataFrame(rows, "query string, targets string")
+
+
+def facade_query(name: str, columns: str, rows, wanted: Sequence[tuple]) -> None:
+    """rows: what calls of a facade give, made when the query runs; wanted: published values."""
+    kinds = ", ".join(f"{c} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'double'}" for c, v in zip(columns.split(", "), wanted[0]))
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(rows(spark), kinds)
+    ORACLES[name] = values(wanted, columns)
+
+
+_BEARS = (("this is a test", "this is a test!"), ("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), ("fuzzy was a bear", "fuzzy fuzzy was a bear"))
+facade_query(
+    "tx14_fuzz_facade", "a, b, ratio, token_sort, token_set", lambda spark: [(a, b, *(fuzz.rounded(f, process=f is not fuzz.ratio)(a, b) for f in (fuzz.ratio, fuzz.token_sort_ratio, fuzz.token_set_ratio))) for a, b in _BEARS],
+    [(*_BEARS[0], 97, 100, 100), (*_BEARS[1], 91, 100, 100), (*_BEARS[2], 84, 84, 100)],
+)
+_TEAMS = ["Atlanta Falcons", "New York Jets", "New York Giants", "Dallas Cowboys"]
+facade_query("top8_extract_facade", "nr, choice, score", lambda spark: [(k, c, int(s)) for k, (c, s, *_) in enumerate(process.extract_rounded(spark, "new york jets", _TEAMS, limit=2))], [(0, "New York Jets", 100), (1, "New York Giants", 79)])
+facade_query("top7_extract_one", "choice, score", lambda spark: [process.extract_one(spark, "cowboys", [t.lower() for t in _TEAMS], scorer=fuzz.partial_ratio)[:2]], [("dallas cowboys", 100.0)])
+_METRICS = (("Levenshtein", "kitten", "sitting", 3), ("Indel", "lewenstein", "levenshtein", 3), ("Hamming", "karolin", "kathrin", 3), ("OSA", "CA", "ABC", 3), ("DamerauLevenshtein", "CA", "ABC", 2), ("LCSseq", "this is a test", "this is a test!", 1))
+facade_query("tx16_distance_facade", "metric, a, b, distance", lambda spark: [(m, a, b, int(getattr(distance, m).distance(a, b))) for m, a, b, _ in _METRICS], _METRICS)
+facade_query("tx17_edit_operations", "edits, runs", lambda spark: [("; ".join(f"{t} {i} {j}" for t, i, j in distance.editops("ab", "acb")), "; ".join(f"{t} {i}-{j} {k}-{m}" for t, i, j, k, m in distance.opcodes("ab", "acb")))], [("insert 1 1", "equal 0-1 0-1; insert 1-1 1-2; equal 1-2 2-3")])
+facade_query("tx18_processors", "text", lambda spark: [(fuzz.full_process(t, False),) for t in ("Hello, World!", "  x  ", "")], [("hello  world",), ("x",), ("",)])
+
+# Joins by published codes
+
+
+def code_join(name: str, function, codes: Sequence[tuple]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = spark.createDataFrame([(k, s) for k, (s, *_) in enumerate(codes)], "k long, s string")
+        return joins.phonetic_join(n, n, single(function, "string"), **_HOW).select("query_index", "target_index")
+
+    QUERIES[name] = run
+    coded = values([(k, c) for k, (_, c, *_) in enumerate(codes)], "k, c")
+    coded = f"SELECT k, unnest(string_split(c, '|')) AS c FROM ({coded}) WHERE c <> ''"
+    ORACLES[name] = f"SELECT DISTINCT a.k AS query_index, b.k AS target_index FROM ({coded}) a JOIN ({coded}) b ON a.c = b.c"
+
+
+code_join("jn11_metaphone_join", phonetic.metaphone, _METAPHONE)
+code_join("jn11_nysiis_join", phonetic.nysiis, _NYSIIS)
+code_join("jn11_daitch_mokotoff_join", phonetic.daitch_mokotoff, [r for r in _DAITCH if r[0]])
