@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from nearspan.llm.common import table
 
-#: Runs of 16 or more characters of keys and tokens, at least one of them a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}"
+#: Runs of 16 or more characters of keys and tokens, with parts of 6 or more that dots join to them, as in signed tokens.
+CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{16,}(?:\.[A-Za-z0-9+/=_\-]{6,})*"
 #: Characters around a candidate that are looked at.
 NEAR = 40
 #: Labelled findings that the forest is grown from at most; trees and their depth.
@@ -59,13 +59,14 @@ def labelled_findings(seed: int = 5) -> list[tuple[str, str, str, int]]:
         value = pick(
             lambda: draw(hexa, pick(32, 40, 64)), lambda: draw(hexa.upper(), pick(32, 40)), lambda: draw(low + up + dig, rng.integers(20, 50)), lambda: draw(low + up + dig + "+/", pick(40, 44, 64)) + pick("", "=", "=="),
             lambda: "AKIA" + draw(up + dig, 16), lambda: "ghp_" + draw(low + up + dig, 36), lambda: "sk_live_" + draw(low + up + dig, 24), lambda: "xoxb-" + draw(dig, 11) + "-" + draw(low + up + dig, 24), lambda: "AIza" + draw(low + up + dig + "_-", 35),
+            lambda: "eyJhbGciOiJIUzI1NiJ9." + draw(low + up + dig + "_-", rng.integers(30, 80)) + "." + draw(low + up + dig + "_-", 43), lambda: draw(low + up, rng.integers(20, 40)),
         )()
-        bare = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb", "AIza")
+        bare = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb", "AIza", "eyJh")
         join = pick(" = \"", "=\"", ": \"", "='", ": ", "=", " ")
         before = prose() + pick("", name + join) if bare else prose() + name + join
         quote = before[-1] if before[-1] in "\"'" else ""
         out.append((before, value, quote + pick("", " ", ",", "\n", "### ", "!! ") + prose(), 1))
-        kind = rng.integers(9)
+        kind = rng.integers(11)
         quote = pick("", "", "\"")
         if kind == 0:
             before, value = prose() + pick("commit ", "sha256:", "md5 ", "hash: ", "checksum=", "digest ", "etag: ", "revision "), draw(hexa, pick(32, 40, 64))
@@ -84,6 +85,10 @@ def labelled_findings(seed: int = 5) -> list[tuple[str, str, str, int]]:
             before, value = prose() + pick("token = ", "secret: ", ""), pick("x" * 20 + "1", "0" * 24, "1234567890abcdef", "abcdefghijklmnop1234", "0123456789" * 3, "abc123" * 4)
         elif kind == 7:
             before, value = prose(), "".join(draw(low, rng.integers(2, 5)) for _ in range(5)) + draw(dig, rng.integers(1, 3))
+        elif kind == 8:  # long words, also after the words that stand before keys
+            before, value = prose() + pick("", "", "", "token ", "key "), draw(low, 1).upper() * rng.integers(0, 2) + draw(low, rng.integers(15, 24))
+        elif kind == 9:
+            before, value = prose() + pick("", "see ", "https://"), ".".join("".join(word() for _ in range(rng.integers(3, 6)))[:30].ljust(16, "a") for _ in range(rng.integers(1, 4)))
         else:
             before, value = prose() + pick("", "version ", "build-"), "-".join([word(), word(), draw(dig, 4), draw(dig, 2), draw(dig, 2), word()])
         out.append((before + quote, value, quote + pick("", " ", ".html ", ",") + prose(), 0))
@@ -136,10 +141,15 @@ def forest_score(forest: list, values: list[Column]) -> Column:
 
 
 def fit(spark: SparkSession, findings: DataFrame | None = None) -> list:
-    """A forest from (before, candidate, after, label) rows; without a table, from labelled_findings(). LABELLED rows at most."""
+    """A forest from (before, candidate, after, label) rows; without a table, from labelled_findings().
+
+    Of more than LABELLED rows those of the least hashes are taken, so that reruns agree. Rows without a label are left out.
+    """
     if findings is None:
         findings = spark.createDataFrame(labelled_findings(), "before string, candidate string, after string, label int")
-    rows = findings.limit(LABELLED).select(F.col("label"), F.array(*features(F.col("candidate"), F.col("before"), F.col("after"))).alias("x")).where("label is not null").collect()
+    named = ["before", "candidate", "after"]
+    findings = findings.where("label is not null").orderBy(F.xxhash64(*named), *named, "label")
+    rows = findings.limit(LABELLED).select(F.col("label"), F.array(*features(F.col("candidate"), F.col("before"), F.col("after"))).alias("x")).collect()
     return grow_forest(np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], float))
 
 

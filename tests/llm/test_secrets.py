@@ -93,3 +93,10 @@ def test_query_covers_all_candidates(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     want = sorted((r.doc_id, k, hashlib.sha256(m.encode()).hexdigest()) for r in docs for k, m in enumerate(re.findall(CANDIDATE, r.text or "")))
     assert sorted((r.doc_id, r.finding, r.sha256) for r in op2_secret_scan(spark, sf_dir).collect()) == want
+
+
+def test_secrets_without_digits_and_with_dots(spark, forest):
+    plain, signed = "qWxRtYbNmKlOpAsDfGhJzXcVbNeRtYuQ", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0aBcDeFgHiJk.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVxadQssw5c"
+    texts = [f'secret = "{plain}" stays', f'token: "{signed}" stays', "incomprehensibilities and internationalisierung are words", "see www.documentation-example.organisation.website"]
+    marked = {(r.doc_id, r.sha256) for r in scan(frame(spark, texts), forest).collect() if r.secret}
+    assert marked == {(0, hashlib.sha256(plain.encode()).hexdigest()), (1, hashlib.sha256(signed.encode()).hexdigest())}
