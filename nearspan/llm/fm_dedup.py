@@ -1,10 +1,10 @@
 """Removal of passages that occur elsewhere, with an FM-index per shard.
 
 Every window of 35 words is represented by its anchor, the 8-word gram of the least hash in it, so equal windows
-share their anchor. Neighbouring windows of one anchor form a segment. Segments that are alike word for word are
-counted first; different segments of one anchor meet in a shard, whose FM-index holds each of them once. The
-segments are then streamed against the index by backward search, and windows that occur twice are reported. An anchor
-of very many segments does not go to one shard: its windows, which are of one length, are counted by their words.
+share their anchor. Neighbouring windows of one anchor form a segment. The segments of an anchor that is met again meet
+in a shard, whose FM-index holds each different one once, with the number of its occurrences as a weight. All segments
+are then streamed against the index by backward search, and windows that occur twice are reported. An anchor of very
+many different segments cannot be in one shard: its windows, which are of one length, are counted by their words.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from nearspan.llm.fm_index import repeated_windows
 from nearspan.shipping import ship
 
 WINDOW, GRAM = 35, 8
-#: An anchor that is met more often than this has its windows counted one by one.
-HOT = 1 << 10
+#: An anchor of more different segments than this has its windows counted one by one.
+HOT = 1 << 12
 #: Segments of a shard, about: an anchor's segments are in one.
 TAKE = 1 << 13
 
@@ -120,15 +120,15 @@ def _anchors(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _segment_words(rows: DataFrame, window: int) -> DataFrame:
-    """(t, of: array of (g, s, first, n, at)) -> (g, s, at, w): the words of each segment."""
+    """(t, of: array of (g, s, first, n, at, c)) -> (g, s, at, c, w): the words of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, of in _hashed(batch):
                 w = [h[x["first"] : x["first"] + x["n"] + window - 1].tobytes() for x in of]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in of], t) for c, t in (("g", pa.int64()), ("s", pa.int64()), ("at", pa.int32()))), pa.array(w, pa.binary())], ["g", "s", "at", "w"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in of], t) for c, t in (("g", pa.int64()), ("s", pa.int64()), ("at", pa.int32()), ("c", pa.int32()))), pa.array(w, pa.binary())], ["g", "s", "at", "c", "w"])
 
-    return rows.mapInArrow(run, "g long, s long, at int, w binary")
+    return rows.mapInArrow(run, "g long, s long, at int, c int, w binary")
 
 
 def _window_words(rows: DataFrame, window: int) -> DataFrame:
@@ -156,14 +156,14 @@ def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[dict]]]:
 
 
 def _search(window: int):
-    """Segments (g, s, at, w), sorted by anchor -> (g, s, mask)."""
+    """Segments (g, s, at, c, w), sorted by anchor -> (g, s, mask)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def search(rows: pa.Table) -> pa.RecordBatch:
             data, offsets = flat(rows["w"])
-            mask = repeated_windows(np.frombuffer(data.tobytes(), np.uint64), offsets // 8, rows["at"].to_numpy().astype(np.int64), GRAM, window)
+            mask = repeated_windows(np.frombuffer(data.tobytes(), np.uint64), offsets // 8, rows["at"].to_numpy().astype(np.int64), GRAM, window, rows["c"].to_numpy().astype(np.int64))
             some = np.flatnonzero(mask)
             return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[some]) for c in ("g", "s")] + [pa.array(mask[some])], ["g", "s", "mask"])
 
@@ -192,24 +192,27 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = _anchors(rows, window)
     # Most anchors are met once. They are told apart by counts alone, so that only the others' rows go any further.
     # Tables that are written first make the joins below joins of two plain exchanges, whose hot keys are split.
-    met = anchors.groupBy("g").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("several"))
-    met = cut(met.where("c > 1").select(F.col("g").alias("kg"), "several", (F.col("c") > HOT).alias("hot")))
+    met = cut(anchors.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("kg")))
     anchors = cut(anchors.join(met.hint("merge"), F.col("g") == F.col("kg")).drop("kg"))
     first = F.min(F.struct("id", "th", "first", "n", "at")).alias("x")
-    alike = cut(anchors.groupBy("g", "s").agg(F.count("*").alias("c"), F.bool_or("several").alias("several"), F.bool_or("hot").alias("hot"), first))
-    # Different segments of one anchor: their words are fetched from one text that has them.
-    one = F.struct("g", "s", "x.first", "x.n", "x.at", "hot")
-    wanted = alike.where("several").groupBy(F.col("x.id").alias("i"), F.col("x.th").alias("h")).agg(F.collect_list(one).alias("of"))
+    alike = cut(anchors.groupBy("g", "s").agg(F.count("*").alias("c"), first))
+    many = cut(alike.groupBy(F.col("g").alias("hg")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hg", F.lit(True).alias("hot")))
+    some_hot = bool(many.head(1))
+    alike = cut(alike.join(many, F.col("g") == F.col("hg"), "left").withColumn("hot", F.coalesce("hot", F.lit(False))).drop("hg")) if some_hot else alike.withColumn("hot", F.lit(False))
+    # The words of a segment are fetched from one text that has it. Twice is as good as more often.
+    one = F.struct("g", "s", "x.first", "x.n", "x.at", F.least("c", F.lit(2)).cast("int").alias("c"), "hot")
+    wanted = alike.groupBy(F.col("x.id").alias("i"), F.col("x.th").alias("h")).agg(F.collect_list(one).alias("of"))
     texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(wanted["i"]) & (rows["th"] == wanted["h"]))
     part = lambda hot: texts.select("t", F.filter("of", lambda x: x["hot"] == hot).alias("of")).where(F.size("of") > 0)
     segments_ = _segment_words(part(False), window).dropDuplicates(["g", "s"])  # rows that repeat id and text bring a segment again
-    found = segments_.repartition("g").sortWithinPartitions("g").mapInArrow(_search(window), "g long, s long, mask long")
-    # A hot anchor's windows are counted: one that has several places, in one segment or in many, occurs again.
-    place = F.struct("s", "k")
-    windows = _window_words(part(True), window)
-    again = cut(windows.groupBy(F.col("g").alias("wg"), F.col("w").alias("ww")).agg((F.min(place) != F.max(place)).alias("again")).where("again").drop("again"))
-    hot = windows.join(again.hint("merge"), (F.col("g") == F.col("wg")) & (F.col("w") == F.col("ww"))).select("g", "s", F.expr("shiftleft(1L, k)").alias("mask"))
-    every = alike.where("c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask")).unionByName(found).unionByName(hot)
+    every = segments_.repartition("g").sortWithinPartitions("g").mapInArrow(_search(window), "g long, s long, mask long")
+    if some_hot:
+        # Such an anchor's windows are counted: one that has several places, in one segment or in many, occurs again.
+        place = F.struct("s", "k")
+        windows = _window_words(part(True), window)
+        again = cut(windows.groupBy(F.col("g").alias("wg"), F.col("w").alias("ww")).agg((F.min(place) != F.max(place)).alias("again")).where("again").drop("again"))
+        hot = windows.join(again.hint("merge"), (F.col("g") == F.col("wg")) & (F.col("w") == F.col("ww"))).select("g", "s", F.expr("shiftleft(1L, k)").alias("mask"))
+        every = every.unionByName(alike.where("hot AND c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask"))).unionByName(hot)
     masks = cut(every.groupBy(F.col("g").alias("mg"), F.col("s").alias("ms")).agg(F.bit_or("mask").alias("mask")))
     hit = anchors.join(masks.hint("merge"), (F.col("g") == F.col("mg")) & (F.col("s") == F.col("ms")))
     span = F.struct("first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, n) - 1")).alias("mask"))

@@ -1,5 +1,7 @@
 """A compressed FM-index over words: suffix order by prefix doubling, the transform in a wavelet matrix of packed bits.
 
+What is kept are the bits of the transform with a running count for each 64 of them, where each symbol begins in suffix
+order, and running weights of the suffixes: a segment that the input has several times is indexed once, with its number.
 Searches go backward and are done for many patterns at once, one numpy step for all.
 """
 
@@ -39,17 +41,17 @@ class Wavelet:
 class FMIndex:
     """Over segments of words, each given as 64-bit hashes; a match never runs over a segment's end."""
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        """words: all segments joined; starts: where each begins, and the end. Segments have 63 words at most."""
+    def __init__(self, words: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None):
+        """words: all segments joined; starts: where each begins, and the end; weights: how often each occurs. Segments have 63 words at most."""
         self.vocabulary, ids = np.unique(words, return_inverse=True)
         lengths, n = np.diff(starts), len(starts) - 1
         if n and lengths.max() > 63:
             raise ValueError("a segment is too long for six doublings")
         # A separator after each segment: all are symbol 0, but each sorts for itself, so 64 words settle every order.
         place = np.arange(len(words)) + np.repeat(np.arange(n), lengths)
-        text = np.zeros(len(words) + n, np.int64)
+        text = np.zeros(len(words) + n, np.int32)
         text[place] = ids + 1
-        rank = text + n - 1
+        rank = text.astype(np.int64) + n - 1
         rank[starts[1:] + np.arange(n)] = np.arange(n)
         size = len(text)
         for k in (1, 2, 4, 8, 16, 32):
@@ -62,23 +64,27 @@ class FMIndex:
             rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
             if rank.max(initial=-1) == size - 1:
                 break
-        order = np.argsort(rank)
+        order = np.empty(size, np.int32)
+        order[rank] = np.arange(size, dtype=np.int32)
+        each = np.repeat(np.ones(n, np.int64) if weights is None else weights, lengths + 1)[order]
+        each[text[order] == 0] = 0  # separators
+        self.weight = np.concatenate([[0], np.cumsum(each)])
         sigma = len(self.vocabulary) + 1
         self.wavelet = Wavelet(text[order - 1], sigma)
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         every = np.arange(sigma)
         begin, _ = self.wavelet.descend(every, np.zeros(sigma, np.int64), np.zeros(sigma, np.int64))
         self.step = first[:sigma] - begin  # from a symbol's place in the wavelet's order to its rows of the suffix order
-        self.first, self.ids, self.place, self.text = first, ids + 1, place, text
+        self.first, self.ids = first, (ids + 1).astype(np.int32)
 
     def leftmost(self, pattern: np.ndarray, end: np.ndarray, stop: np.ndarray, least: int = 2) -> np.ndarray:
-        """For patterns within an array of symbols: the smallest s >= stop such that pattern[s..end] occurs ``least`` times; end + 1 if none."""
+        """For patterns within an array of symbols: the smallest s >= stop such that pattern[s..end] occurs ``least`` times, weights counted; end + 1 if none."""
         out = end + 1
         lane = np.flatnonzero(end >= stop)
         at = end[lane].copy()
         low, high = self.first[pattern[at]], self.first[pattern[at] + 1]
         while True:
-            some = high - low >= least
+            some = self.weight[high] - self.weight[low] >= least
             lane, at, low, high = lane[some], at[some], low[some], high[some]
             out[lane] = at
             more = at > stop[lane]
@@ -90,16 +96,16 @@ class FMIndex:
             low, high = low + self.step[symbol], high + self.step[symbol]
 
 
-def repeated_windows(words: np.ndarray, starts: np.ndarray, anchor: np.ndarray, gram: int, size: int) -> np.ndarray:
+def repeated_windows(words: np.ndarray, starts: np.ndarray, anchor: np.ndarray, gram: int, size: int, weights: np.ndarray | None = None) -> np.ndarray:
     """For segments all of whose windows of ``size`` words hold the gram at ``anchor``: bit k is set if window k occurs twice.
 
-    anchor: place of the gram in each segment. Matching statistics around the gram bound the windows that can occur twice;
+    anchor: place of the gram in each segment; weights: how often the input has each segment. Matching statistics around the gram bound the windows that can occur twice;
     what is between is settled from both sides.
     """
     n = len(starts) - 1
     if not n:
         return np.zeros(0, np.int64)
-    index = FMIndex(words, starts)
+    index = FMIndex(words, starts, weights)
     text, begin = index.ids, starts[:-1].astype(np.int64)
     last = starts[1:].astype(np.int64) - 1
     a = begin + anchor

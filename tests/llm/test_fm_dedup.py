@@ -89,3 +89,19 @@ def test_index_counts():
 def test_long_segments_are_refused():
     with pytest.raises(ValueError):
         FMIndex(np.arange(64, dtype=np.uint64), np.array([0, 64]))
+
+
+def test_weights_count_as_occurrences():
+    rng = np.random.default_rng(4)
+    segments = [rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint64) for _ in range(30)]
+    weights = rng.integers(1, 3, 30)
+    join = lambda parts: (np.concatenate(parts), np.concatenate([[0], np.cumsum([len(s) for s in parts])]))
+    words_, starts = join(segments)
+    repeated = [s for s, w in zip(segments, weights) for _ in range(w)]
+    one, all_ = FMIndex(words_, starts, weights), FMIndex(*join(repeated))
+    begin, end = starts[:-1], starts[1:] - 1
+    got = one.leftmost(one.ids, end.copy(), begin.copy()) - begin
+    at = np.concatenate([[0], np.cumsum(weights)])[:-1]
+    starts = join(repeated)[1]
+    begin, end = starts[:-1], starts[1:] - 1
+    assert got.tolist() == (all_.leftmost(all_.ids, end.copy(), begin.copy()) - begin)[at].tolist()
