@@ -13,7 +13,7 @@ from nearspan.functions import phonetic
 from nearspan.functions.arrow import single
 from nearspan.functions.sql import register
 from nearspan.operators import joins
-from nearspan.queries import _ALIGN, _COUNT, _GRID, _HOW, _INDEL, _LOCAL, _NATIONS, _SAME, _ZEROS, ORACLES, QUERIES, _share, _winkler, _with_array, dp, nations, pair_query, query
+from nearspan.queries import _ALIGN, _COUNT, _GRID, _HOW, _INDEL, _LOCAL, _NATIONS, _SAME, _ZEROS, ORACLES, QUERIES, _share, _winkler, _with_array, _WORD_PAIRS, _words, dp, nations, pair_query, query
 
 
 def literal(v) -> str:
@@ -358,3 +358,97 @@ def code_join(name: str, function, codes: Sequence[tuple]) -> None:
 code_join("jn11_metaphone_join", phonetic.metaphone, _METAPHONE)
 code_join("jn11_nysiis_join", phonetic.nysiis, _NYSIIS)
 code_join("jn11_daitch_mokotoff_join", phonetic.daitch_mokotoff, [r for r in _DAITCH if r[0]])
+
+# Processors, corrected lines, token sets
+
+
+@query("flt4_processors", f"SELECT s AS choice, {_share('levenshtein(lower(s), chr(105) || chr(110) || chr(100) || chr(105) || chr(97))', 'greatest(length(s), 5)')} AS score, k AS index FROM ({_NATIONS}) ORDER BY score DESC, index LIMIT 4")
+def flt4_processors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.operators import ranking
+
+    return ranking.extract(nations(spark, sf_dir), "INDIA", "s", "k", k=4, processor=F.lower)
+
+
+@query(
+    "agg5_corrected_lines",
+    """WITH words AS (SELECT w, min(k * 100 + p) AS k FROM (SELECT min(p_partkey) AS k, unnest(string_split(p_name, ' ')) AS w, unnest(range(0, len(string_split(p_name, ' ')))) AS p FROM part GROUP BY p_name) GROUP BY w),
+lines AS (SELECT min(p_partkey) AS line, unnest(string_split(regexp_replace(p_name, '[aeiou]', 'e', 'g'), ' ')) AS token, unnest(range(0, len(string_split(p_name, ' ')))) AS position FROM part GROUP BY p_name),
+best AS (SELECT token, w FROM (SELECT token, w, row_number() OVER (PARTITION BY token ORDER BY {score} DESC, k) AS r FROM (SELECT DISTINCT token FROM lines), words) WHERE r = 1)
+SELECT line, string_agg(w, ' ' ORDER BY position) AS text FROM lines JOIN best USING (token) GROUP BY line""".replace("{score}", _winkler("token", "w")),
+)
+def agg5_corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name with all vowels alike, word by word, as the nearest words that names have."""
+    from nearspan.operators import ranking
+    from nearspan.queries import names
+
+    n = names(spark, sf_dir)
+    words = n.select("k", F.posexplode(F.split("s", " ")).alias("p", "word")).groupBy("word").agg(F.min(F.col("k") * 100 + F.col("p")).alias("k"))
+    lines = n.select(F.col("k").alias("line"), F.posexplode(F.split(F.regexp_replace("s", "[aeiou]", "e"), " ")).alias("position", "token"))
+    asked = lines.select("token").distinct().withColumn("q", F.xxhash64("token"))
+    return ranking.correct(lines, joins.top_k_per_query(asked, words, "jaro_winkler", 1, "token", "word", "q", "k"))
+
+
+@query("set1_token_sets", f"SELECT x, array_to_string(list_sort(list_intersect(u, v)), ' ') AS both, array_to_string(list_sort(list_filter(u, lambda t: NOT list_contains(v, t))), ' ') AS left_only FROM (SELECT k AS x, list_distinct(string_split(s, ' ')) AS u, ['cold', 'bolt', 'large', 'widget'] AS v FROM (SELECT p_name AS s, min(p_partkey) AS k FROM part GROUP BY p_name))")
+def set1_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.queries import names
+
+    u, v = F.array_distinct(F.split("s", " ")), F.array(*map(F.lit, ("cold", "bolt", "large", "widget")))
+    return names(spark, sf_dir).select(F.col("k").alias("x"), F.array_join(F.array_sort(F.array_intersect(u, v)), " ").alias("both"), F.array_join(F.array_sort(F.array_except(u, v)), " ").alias("left_only"))
+
+# Partial and token ratios of part names, every window scored by the dynamic program
+
+_RATIO = f"{_share('p[len(p)]', '(len(a) + len(b))')} AS score"
+
+
+def ratio_sql(pairs: str) -> str:
+    return dp(pairs, _COUNT, "i", _INDEL, _RATIO)
+
+
+def partial_sql(pairs: str) -> str:
+    cut = "l[greatest(k, 0) + 1:least(k + len(s), len(l))]"
+    sides = f"SELECT x, y, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS s, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS l FROM ({pairs}) UNION ALL SELECT x, y, b, a FROM ({pairs}) WHERE len(a) = len(b)"
+    windows = f"SELECT x, y, s AS a, unnest(list_distinct(list_transform(range(1 - len(s), len(l)), lambda k: {cut}))) AS b FROM ({sides})"
+    return f"SELECT x, y, max(score) AS score FROM ({ratio_sql(windows)}) GROUP BY x, y"
+
+
+def sorted_sql(pairs: str) -> str:
+    one = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+    return f"SELECT x, y, {one.format('a')} AS a, {one.format('b')} AS b FROM ({pairs})"
+
+
+def token_set_sql(pairs: str) -> str:
+    sets = f"SELECT x, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM ({pairs})"
+    parts = f"SELECT x, list_sort(list_intersect(u, v)) AS c, list_sort(list_filter(u, lambda t: NOT list_contains(v, t))) AS p, list_sort(list_filter(v, lambda t: NOT list_contains(u, t))) AS q FROM ({sets})"
+    joined = f"SELECT x, c, p, q, array_to_string(c, ' ') AS common, array_to_string(list_concat(c, p), ' ') AS lo, array_to_string(list_concat(c, q), ' ') AS hi FROM ({parts})"
+    three = f"SELECT x, 0 AS y, lo AS a, hi AS b FROM ({joined}) UNION ALL SELECT x, 1, common, lo FROM ({joined}) WHERE len(c) > 0 UNION ALL SELECT x, 2, common, hi FROM ({joined}) WHERE len(c) > 0"
+    return f"SELECT x, 0 AS y, CASE WHEN len(c) > 0 AND (len(p) = 0 OR len(q) = 0) THEN 1.0::DOUBLE ELSE score END AS score FROM ({joined}) JOIN (SELECT x, max(score) AS score FROM ({ratio_sql(three)}) GROUP BY x) USING (x)"
+
+
+def partial_set_sql(pairs: str) -> str:
+    sets = f"SELECT x, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM ({pairs})"
+    apart = f"SELECT x, 0 AS y, array_to_string(list_sort(u), ' ') AS a, array_to_string(list_sort(v), ' ') AS b FROM ({sets}) WHERE len(list_intersect(u, v)) = 0"
+    return f"SELECT x, 0 AS y, 1.0::DOUBLE AS score FROM ({sets}) WHERE len(list_intersect(u, v)) > 0 UNION ALL {partial_sql(apart)}"
+
+
+def wratio_sql(pairs: str) -> str:
+    tables = {"r": ratio_sql(pairs), "pr": partial_sql(pairs), "ts": ratio_sql(sorted_sql(pairs)), "tt": token_set_sql(pairs), "ps": partial_sql(sorted_sql(pairs)), "pt": partial_set_sql(pairs)}
+    joins_ = " ".join(f"JOIN ({sql}) {name} ON {name}.x = n.x" for name, sql in tables.items())
+    longer = "CAST(greatest(len(n.a), len(n.b)) AS DOUBLE) / least(len(n.a), len(n.b))"
+    part, token = f"(CASE WHEN {longer} < 1.5 THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END)", f"(CASE WHEN {longer} >= 8 THEN 0.6::DOUBLE ELSE 0.95::DOUBLE END)"
+    most = f"greatest(r.score, pr.score * {part}, ts.score * {token}, tt.score * {token}, ps.score * ({part} * {token}), pt.score * ({part} * {token}))"
+    return f"SELECT n.x, 0 AS y, CASE WHEN r.score >= 1 THEN r.score ELSE {most} END AS score FROM ({pairs}) n {joins_}"
+
+
+pair_query("tx7_partial_ratio_words", _words, {"score": "partial_ratio(a, b)"}, partial_sql(_WORD_PAIRS))
+pair_query("tx9_token_set_ratio_words", _words, {"score": "token_set_ratio(a, b)"}, token_set_sql(_WORD_PAIRS))
+pair_query("tx10_partial_token_sort_words", _words, {"score": "partial_token_sort_ratio(a, b)"}, partial_sql(sorted_sql(_WORD_PAIRS)))
+pair_query("tx11_partial_token_set_words", _words, {"score": "partial_token_set_ratio(a, b)"}, partial_set_sql(_WORD_PAIRS))
+ORACLES["tx12_wratio"] = wratio_sql(_WORD_PAIRS)
+del QUERIES["tx9_token_ratios"]
+
+_SERIES = "SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id"
+_BAND = "ceil(0.1::DOUBLE * greatest(len(a), len(b)))"
+ORACLES["seq1_dtw_band"] = "SELECT x AS user_id, cost FROM (" + dp(
+    f"SELECT user_id AS x, 0 AS y, v AS a, (SELECT v FROM ({_SERIES}) ORDER BY user_id LIMIT 1) AS b FROM ({_SERIES})", "list_transform(range(0, len(b) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END)", "'inf'",
+    f"CASE WHEN abs(i - {{j}}) <= {_BAND} THEN (a[i] - b[{{j}}]) * (a[i] - b[{{j}}]) + least(p[{{j}}], p[{{j}} + 1], l[len(l)]) ELSE 'inf'::DOUBLE END", "p[len(p)] AS cost", kind="DOUBLE",
+) + ")"

@@ -320,17 +320,6 @@ def agg3_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.dedupe(read(spark, sf_dir, "part"), "p_name", "levenshtein_normalized", 0.75)
 
 
-@query("agg5_corrected_lines")
-def agg5_corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer-made spelling of a part's name, word by word, as the nearest words that names have."""
-    words = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    words = words.withColumn("k", F.xxhash64("word"))
-    lines = names(spark, sf_dir).select(F.col("k").alias("line"), F.posexplode(F.split(F.regexp_replace("s", "[aeiou]", "e"), " ")).alias("position", "token"))
-    asked = lines.select("token").distinct().withColumn("q", F.xxhash64("token"))
-    nearest = joins.top_k_per_query(asked, words, "jaro_winkler", 1, "token", "word", "q", "k")
-    return ranking.correct(lines, nearest)
-
-
 # Subsequences, n-grams, tokens
 
 pair_query("tx1_lcs", _words, {"length": "lcs_length(a, b)"}, dp(_WORD_PAIRS, _COUNT, "i", _INDEL, "(len(a) + len(b) - p[len(p)]) // 2 AS length"))
