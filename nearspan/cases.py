@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearspan.facades import distance, fuzz, process
-from nearspan.functions import phonetic
+from nearspan.facades import aligner, distance, fuzz, graphemes, process
+from nearspan.functions import phonetic, text
 from nearspan.functions.arrow import single
+from nearspan.functions.dtw import keogh
 from nearspan.functions.sql import register
 from nearspan.operators import joins
 from nearspan.queries import _ALIGN, _COUNT, _GRID, _HOW, _INDEL, _LOCAL, _NATIONS, _SAME, _ZEROS, ORACLES, QUERIES, _share, _winkler, _with_array, _WORD_PAIRS, _words, dp, nations, pair_query, query
@@ -452,3 +455,80 @@ ORACLES["seq1_dtw_band"] = "SELECT x AS user_id, cost FROM (" + dp(
     f"SELECT user_id AS x, 0 AS y, v AS a, (SELECT v FROM ({_SERIES}) ORDER BY user_id LIMIT 1) AS b FROM ({_SERIES})", "list_transform(range(0, len(b) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END)", "'inf'",
     f"CASE WHEN abs(i - {{j}}) <= {_BAND} THEN (a[i] - b[{{j}}]) * (a[i] - b[{{j}}]) + least(p[{{j}}], p[{{j}} + 1], l[len(l)]) ELSE 'inf'::DOUBLE END", "p[len(p)] AS cost", kind="DOUBLE",
 ) + ")"
+
+# Further facades
+
+
+def _aligned(spark: SparkSession) -> list[tuple]:
+    m = aligner.matrix_create("ACGT", 2, -1)
+    found = [aligner.nw_trace(a, b, 1, 1, m) for a, b in (("ACGT", "ACCT"), ("ACCGT", "CCG"))]
+    return [(r.score, r.traceback.query, r.traceback.comp, r.traceback.ref, r.cigar.decode, s) for r, s in zip(found, (aligner.sw(a, b, 1, 1, m).score for a, b in (("ACGT", "ACCT"), ("ACCGT", "CCG"))))]
+
+
+facade_query("al12_aligner_facade", "score, query, comp, ref, cigar, local", _aligned, [(5, "ACGT", "||.|", "ACCT", "2=1X1=", 5), (4, "ACCGT", " ||| ", "-CCG-", "1D3=1D", 6)])
+facade_query(
+    "seq3_lower_bound", "band, bound", lambda spark: [(0, keogh(np.array([0.0, 0, 0]), np.array([2.0, 0, -1]), 0)), (1, keogh(np.array([0.0, 1, 0]), np.array([2.0, 0, 0]), 1)), (2, keogh(np.array([1.0, 2, 3]), np.array([3.0, 2, 1]), 2))],
+    [(0, 5.0), (1, 1.0), (2, 0.0)],
+)
+facade_query("tx13_best_team", "choice, score", lambda spark: [tuple(process.extract_rounded(spark, "cowboys", _TEAMS, limit=1)[0][:2])], [("Dallas Cowboys", 90)])
+facade_query("udf3_callable_inner", "score", lambda spark: [(text.monge_elkan("a b", "b", lambda p, q: float(p == q)),)], [(0.5,)])
+_NCBI = "# a comment\n   A  C  X\nA  4 -1 -4\nC -1  9 -4\nX -4 -4  1\n"
+case_query(
+    "src4_ncbi_text", "t string", [(_NCBI,)], [("ACX", 4, 13, 9)],
+    {"alphabet": "{}matrix_info({}matrix_from_ncbi_text(t)).alphabet", "aa": "{}substitution_matrix_score({}matrix_from_ncbi_text(t), 'A', 'A')", "ac": "{}substitution_matrix_score({}matrix_from_ncbi_text(t), 'AC', 'AC')", "cc": "{}substitution_matrix_score({}matrix_from_ncbi_text(t), 'C', 'C')"},
+)
+
+
+# Files: a table's strings written as text and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for this session's text files, shared where the session names one."""
+    import tempfile
+
+    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/nearspan-{spark.sparkContext.applicationId}"
+
+
+@query("src3_dictionary", f"SELECT DISTINCT lower(s) AS word FROM ({_NATIONS})")
+def src3_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearspan.sources.corpus import dictionary
+
+    path = f"{_folder(spark)}/dictionary"
+    nations(spark, sf_dir).select(F.lower("s")).write.mode("overwrite").text(path)
+    found = dictionary(spark, path)
+    return found.select(F.col(found.columns[0]).alias("word")).distinct()
+
+
+@query("src2_verses", f"SELECT s AS reference, 'in ' || s AS verse FROM ({_NATIONS})")
+def src2_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with two lines of heading."""
+    from nearspan.sources.corpus import verses
+
+    path = f"{_folder(spark)}/verses"
+    lines = nations(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list(F.concat("s", F.lit("\tin "), "s"))), "\n").alias("t"))
+    lines.select(F.concat(F.lit("a title\nanother line\n"), "t")).coalesce(1).write.mode("overwrite").text(path)
+    return verses(spark, path)
+
+
+@query("snk1_written_scores", f"SELECT a.k AS query_index, b.k AS target_index, jaro_similarity(a.s, b.s) AS score FROM ({_NATIONS}) a, ({_NATIONS}) b")
+def snk1_written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores as files, and read again."""
+    path = f"{_folder(spark)}/scores"
+    n = nations(spark, sf_dir)
+    joins.cdist(n, n, "jaro", **_HOW).select("query_index", "target_index", "score").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _npy() -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.array([[3, -2], [-2, 3]], np.int8))
+    return out.getvalue()
+
+
+case_query(
+    "src5_npy_matrix", "b binary", [(bytearray(_npy()),)], [("AC", 6, 3)],
+    {"alphabet": "{}matrix_info({}keyboard_from_npy(b, 'TWO', 'AC', 'C')).alphabet", "same": "{}substitution_matrix_score({}keyboard_from_npy(b, 'TWO', 'AC', 'C'), 'AC', 'AC')", "part": "{}substitution_matrix_score({}keyboard_from_npy(b, 'TWO', 'AC', 'C'), 'A', 'CA')"},
+)
+_CLUSTERS = (("👨‍👩‍👧", "👨‍👩‍👧‍👦", 1), ("é", "e", 1), ("kitten", "sitting", 3), ("", "ab", 2))
+facade_query("tx20_grapheme_distance", "a, b, distance", lambda spark: [(a, b, graphemes.levenshtein_distance(a, b)) for a, b, _ in _CLUSTERS], _CLUSTERS)
+facade_query("ph10_phonetic_facade", "name, soundex, codex", lambda spark: [(s, graphemes.soundex(s), graphemes.match_rating_codex(s)) for s in ("Robert", "Smith", "Lloyd")], [("Robert", "R163", "RBRT"), ("Smith", "S530", "SMTH"), ("Lloyd", "L300", "LYD")])

@@ -28,6 +28,15 @@ class Cigar:
         return [int(n) << 4 | _CODES.index(op) for n, op in re.findall(r"(\d+)(\D)", self.decode)]
 
 
+@dataclass(frozen=True)
+class Traceback:
+    """Three lines of one length: | where both are alike, . where they differ, blank at gaps."""
+
+    query: str
+    comp: str
+    ref: str
+
+
 @dataclass(frozen=True)
 class Result:
     score: int
@@ -41,6 +50,19 @@ class Result:
     similar: int | None = None
     length: int | None = None
 
+    @property
+    def traceback(self) -> Traceback | None:
+        """Of alignments with a trace alone."""
+        return None if self.comp is None else Traceback(self.query, self.comp, self.ref)
+
+
+def _no_instructions() -> bool:
+    """Kernels here run on numpy and the JVM, whatever vector instructions there are."""
+    return False
+
+
+can_use_sse2 = can_use_sse41 = can_use_avx2 = can_use_altivec = can_use_neon = _no_instructions
+
 
 def matrix_create(alphabet: str, match: int, mismatch: int, case_sensitive: bool = False) -> matrices.Matrix:
     """match and mismatch over an alphabet; any other symbol, shown as *, scores 0."""
