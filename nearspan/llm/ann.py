@@ -166,4 +166,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
 
 def op3_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """Rows of embeddings whose id is divisible by 50 against all: see nearest for vectors that take no part, repeated ids, ties and few or no rows."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -211,6 +211,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, id_col: str = "vec
 
 
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of embeddings: see embedding_groups for vectors that take no part, null and repeated ids, ties and empty tables."""
     return embedding_groups(table(spark, sf_dir, "embeddings"), 0.95)
 
 

@@ -253,6 +253,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents: see without_repeats for null texts, repeated rows and copies."""
     return without_repeats(table(spark, sf_dir, "documents"))
 
 

@@ -208,4 +208,5 @@ def shard(docs: DataFrame, leaves: int = 24, dims: dict[str, Column] | None = No
 
 
 def op5_kd_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents: see shard for null texts and ids, equal texts, repeated rows and small tables."""
     return shard(table(spark, sf_dir, "documents"), 24)

@@ -138,6 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents: see mix_sizes for null texts, sources and ids, repeated rows and empty tables."""
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 

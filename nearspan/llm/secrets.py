@@ -195,4 +195,5 @@ def redact(docs: DataFrame, forest: list | None = None, at: float = 0.5, text_co
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Every candidate of documents: see scan for null, empty and repeated texts and null ids; other columns are not read."""
     return scan(table(spark, sf_dir, "documents"))

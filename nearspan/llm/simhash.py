@@ -226,6 +226,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents: see simhash_groups for null texts and ids, repeated rows and empty tables."""
     from nearspan.llm.common import table
 
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -369,6 +369,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, hold: Column, id_col:
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents. Null and empty texts have the score of no evidence; null ids are scored and never held out; repeated rows
+    score alike; labels other than 0 and 1, or both for one id, are not learnt from. No rows give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     remainder = fold(F.col("__id"))
     fitted = fit(docs, table(spark, sf_dir, "labels"), remainder.isin(1, 2, 3), remainder == 4)
