@@ -209,7 +209,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     if some_hot:
         # Such an anchor's windows are counted: one that has several places, in one segment or in many, occurs again.
         place = F.struct("s", "k")
-        windows = _window_words(part(True), window)
+        # One table for both kinds, so that texts are dealt out to their segments once.
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        both = cut(every.select("g", "s", "mask", none("int", "k"), none("long", "w")).unionByName(_window_words(part(True), window).select("g", "s", none("long", "mask"), "k", "w")))
+        every, windows = both.where("mask is not null").select("g", "s", "mask"), both.where("w is not null").select("g", "s", "k", "w")
         again = cut(windows.groupBy(F.col("g").alias("wg"), F.col("w").alias("ww")).agg((F.min(place) != F.max(place)).alias("again")).where("again").drop("again"))
         hot = windows.join(again.hint("merge"), (F.col("g") == F.col("wg")) & (F.col("w") == F.col("ww"))).select("g", "s", F.expr("shiftleft(1L, k)").alias("mask"))
         every = every.unionByName(alike.where("hot AND c > 1").select("g", "s", F.lit(-1).cast("long").alias("mask"))).unionByName(hot)

@@ -61,6 +61,16 @@ def test_hot_anchor_is_dealt_out(spark, monkeypatch):
     check(spark, [(i, " ".join(words(rng, 20) + passage + words(rng, 20))) for i in range(40)])
 
 
+def test_texts_meet_their_segments_once(spark, monkeypatch):
+    rng, plans, cut = random.Random(8), [], fm_dedup.cut
+    monkeypatch.setattr(fm_dedup, "HOT", 4)
+    monkeypatch.setattr(fm_dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    often, twice = words(rng, 45), words(rng, 80)
+    rows = [(i, " ".join(words(rng, 20) + often + words(rng, 20) + (twice if i < 2 else []))) for i in range(20)]
+    check(spark, rows + [(None, rows[0][1]), (3, rows[3][1])])
+    assert sum("collect_list" in p for p in plans) == 1 and any("again" in p for p in plans)
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
