@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from nearspan.functions.arrow import pairwise
 from nearspan.functions.kernels import matrix_of
 from nearspan.functions.scorers import Options, Scorer, scorer
-from nearspan.plans.candidates import candidates
+from nearspan.plans import blocks
+from nearspan.plans.candidates import blocks_cost_less, candidates
 
 #: Similarities at which kNN and top-k joins look for enough pairs, before they look at all.
 LADDER = (0.8,)
@@ -78,7 +79,13 @@ def cdist_array(queries: DataFrame, targets: DataFrame, by, **names_and_options)
 
 
 def _above(a: DataFrame, b: DataFrame, found: Scorer, t: float, options: Options) -> DataFrame:
-    near = candidates(a, b, found, t, options)
+    short = False
+    if found.name == "levenshtein_normalized" and 0 < t <= 1:
+        size = blocks.sizes(a, b)
+        short = size[2] <= blocks.LONGEST
+        if short and blocks_cost_less(a, b, size, found, t, options):
+            return blocks.near_pairs(a, b, size, t)
+    near = candidates(a, b, found, t, options, compare=not short)
     if found.name == "levenshtein_normalized" and 0 < t <= 1:
         # No more than these edits reach t; the distance is given up beyond them.
         most = F.greatest(F.length("query"), F.length("target"))

@@ -21,6 +21,8 @@ _EDITS = {"levenshtein_normalized": 1, "damerau_levenshtein_normalized": 2, "tru
 #: Below this similarity segments are too short to tell strings apart.
 LEAST_FOR_SEGMENTS = 0.6
 _SLACK = 1e-9
+#: Pairs of a join by blocks that take the time of a key of a segment, and of a meeting of two keys.
+BOUNDS_A_KEY, BOUNDS_A_MEETING = 100, 500
 
 
 def by_segments(scorer: Scorer, t: float) -> bool:
@@ -101,14 +103,32 @@ def _pairs_of_lengths(queries: DataFrame, targets: DataFrame, scorer: Scorer, t:
     return both.agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0.0
 
 
-def candidates(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float, options: Options = Options()) -> DataFrame:
-    """Distinct (query) and (target) strings -> distinct (query, target) pairs that include all that reach t."""
+def _keys(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float) -> tuple[DataFrame, DataFrame]:
+    a = queries.select("query", F.explode(_query_keys(F.col("query"), scorer, t)).alias("key"))
+    return a, targets.select("target", F.explode(_target_keys(F.col("target"), scorer, t)).alias("key"))
+
+
+def blocks_cost_less(queries: DataFrame, targets: DataFrame, size: tuple[int, int, int], scorer: Scorer, t: float, options: Options = Options()) -> bool:
+    """Whether a look at all pairs by bounds (plans.blocks) is cheaper than segments. size: numbers of both, and the longest string."""
+    if not by_segments(scorer, t):
+        return True
+    # A string has about so many keys, each of which costs as much as some hundred bounds: few targets are looked at sooner.
+    d = (1.0 - t) * size[2] / t
+    if size[1] <= BOUNDS_A_KEY * 2 * (d + 1) ** 3:
+        return True
+    return _meetings(*_keys(queries, targets, scorer, t)) * BOUNDS_A_MEETING > _pairs_of_lengths(queries, targets, scorer, t, options)
+
+
+def candidates(queries: DataFrame, targets: DataFrame, scorer: Scorer, t: float, options: Options = Options(), compare: bool = True) -> DataFrame:
+    """Distinct (query) and (target) strings -> distinct (query, target) pairs that include all that reach t.
+
+    Without compare segments are taken where there are any, and not compared with lengths.
+    """
     if t <= 0:
         return queries.crossJoin(targets)
     if by_segments(scorer, t):
-        a = queries.select("query", F.explode(_query_keys(F.col("query"), scorer, t)).alias("key"))
-        b = targets.select("target", F.explode(_target_keys(F.col("target"), scorer, t)).alias("key"))
-        if _meetings(a, b) <= _pairs_of_lengths(queries, targets, scorer, t, options):
+        a, b = _keys(queries, targets, scorer, t)
+        if not compare or _meetings(a, b) <= _pairs_of_lengths(queries, targets, scorer, t, options):
             pairs = a.join(b, "key").select("query", "target")
             bound = scorer.length_bound(F.length("query"), F.length("target"), options)
             return pairs.where(bound >= t - _SLACK).distinct()
