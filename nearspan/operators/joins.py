@@ -140,19 +140,8 @@ def top_k(
     return _rows(a.crossJoin(b).where(kept).withColumn("score", score_column(found, chosen)), q, t).orderBy(*order).limit(k)
 
 
-def top_k_per_query(
-    queries: DataFrame, targets: DataFrame, by: str | int | Scorer, k: int = 5, query: str = "query", target: str = "target", query_index: str = "query_index", target_index: str = "target_index",
-    ladder: tuple[float, ...] = LADDER, **options,
-) -> DataFrame:
-    """The k nearest targets of each query: (query_index, query, rank, score, target, target_index).
-
-    Ties go to the smaller target_index. A step of the ladder settles the queries that find k targets there; only the
-    rest are scored against targets further away. Hamming skips targets of another length.
-    """
-    found = scorer(by)
-    chosen = Options(**{"on_length_mismatch": "skip", **options})
-    q, t = _sides(queries, targets, query, target, query_index, target_index)
-    a, b = _distinct(q, t)
+def _by_ladder(a: DataFrame, b: DataFrame, t: DataFrame, found: Scorer, k: int, ladder: tuple[float, ...], chosen: Options) -> DataFrame:
+    """(query, target, score) of pairs that include the k nearest rows of each query and their ties."""
     weight = t.groupBy("target").agg(F.count("*").alias("n"))
     open_, parts = a, []
     for step in ladder if found.normalized else ():
@@ -167,6 +156,28 @@ def top_k_per_query(
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
+    return scored
+
+
+def top_k_per_query(
+    queries: DataFrame, targets: DataFrame, by: str | int | Scorer, k: int = 5, query: str = "query", target: str = "target", query_index: str = "query_index", target_index: str = "target_index",
+    ladder: tuple[float, ...] = LADDER, **options,
+) -> DataFrame:
+    """The k nearest targets of each query: (query_index, query, rank, score, target, target_index).
+
+    Ties go to the smaller target_index. Levenshtein similarities are looked for by blocks, whatever the ladder, unless
+    strings are very long. For others a step of the ladder settles the queries that find k targets there; only the
+    rest are scored against targets further away. Hamming skips targets of another length.
+    """
+    found = scorer(by)
+    chosen = Options(**{"on_length_mismatch": "skip", **options})
+    q, t = _sides(queries, targets, query, target, query_index, target_index)
+    a, b = _distinct(q, t)
+    if found.name == "levenshtein_normalized" and (size := blocks.sizes(a, b))[2] <= blocks.LONGEST:
+        first = F.min(F.coalesce("target_index", F.lit(-(1 << 63)).cast("long")))
+        scored = blocks.nearest_pairs(a, t.groupBy("target").agg(first.alias("i")), size, k)
+    else:
+        scored = _by_ladder(a, b, t, found, k, ladder, chosen)
     # A string's k nearest strings hold its k nearest rows; ranks by string first keep the join back small.
     best = Window.partitionBy("query").orderBy(F.desc("score") if found.similarity else F.asc("score"))
     scored = scored.withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r")

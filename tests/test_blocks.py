@@ -56,11 +56,25 @@ def test_threshold_needs_no_keys(spark, urls, monkeypatch, t):
     assert sorted((r.query_index, r.target_index, r.score) for r in got.collect()) == sorted(x for x in scored(urls) if x[2] >= t)
 
 
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_nearest_look_at_no_cross_join(spark, urls, monkeypatch, k):
+    for name, most in (("QUERIES", 50), ("TARGETS", 60), ("BOUNDS", 200)):
+        monkeypatch.setattr(blocks, name, most)
+    frame = spark.createDataFrame(urls, "k long, s string")
+    got = joins.top_k_per_query(frame, frame, "levenshtein_normalized", k, **HOW)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    want = {}
+    for i, j, score in sorted(scored(urls), key=lambda x: (x[0], -x[2], x[1])):
+        want.setdefault(i, []).append((j, score))
+    assert sorted((r.query_index, r["rank"], r.target_index, r.score) for r in got.collect()) == sorted((i, rank, j, s) for i, found in want.items() for rank, (j, s) in enumerate(found[:k], 1))
+
+
 def test_no_rows(spark):
     frame = spark.createDataFrame([(1, "a")], "k long, s string")
     none = frame.limit(0)
     for a, b in ((none, frame), (frame, none), (none, none)):
         assert joins.above_threshold(a, b, "levenshtein_normalized", 0.5, **HOW).count() == 0
+        assert joins.top_k_per_query(a, b, "levenshtein_normalized", 2, **HOW).count() == 0
 
 
 def test_many_targets_still_meet_by_segments(spark, urls, monkeypatch):
