@@ -25,6 +25,8 @@ from nearspan.shipping import ship
 HOT_GROUP = 1 << 12
 #: Rows that a task takes up before it joins the groups it has, and node pairs that it holds at once.
 TAKE, FRONTIER = 1 << 17, 1 << 20
+#: Up to so many ids of copies are sent to all tasks (16 MB or so), and texts stay where they are.
+SENT_IDS = 1 << 20
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -222,6 +224,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     groups = simhash_groups(docs, id_col, text_col).where("doc_id is not null")
     gone = groups.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("__gone")).where("__gone")
+    gone = cut(gone.select("__gone_id"))
+    # Else texts are dealt out by id, but not sorted.
+    gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone.hint("shuffle_hash")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
 
 

@@ -105,3 +105,15 @@ def test_rows_without_an_id_join_groups(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, fps) for i, t in rows], "doc_id long, text string, m map<string, long>")
     got = simhash_groups(docs).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 5), (0, 5), (5, 5), (7, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("sent,join", [(1 << 20, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_dedup_sorts_no_texts(spark, monkeypatch, sent, join):
+    monkeypatch.setattr(simhash, "SENT_IDS", sent)
+    rows = [(i, f"text {i // 2} of " + " ".join(f"w{i // 2 * 50 + k}" for k in range(40))) for i in range(60)] + [(None, "text"), (None, "text"), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.simhash_dedup(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "SortMergeJoin" not in plan
+    kept = [r.doc_id for r in got.collect()]
+    assert sorted(k for k in kept if k is not None) == [*range(0, 60, 2), 70] and kept.count(None) == 2
